@@ -24,7 +24,7 @@ BYTE_SPLIT = f"{CLITIC}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]
 WORD_SPLIT = f"{CLITIC}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"
 
 #: Distinct pre-tokens remembered by one Python worker, some 200 bytes each. A full memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Characters split at a time; bounds the lists of pre-tokens.
 SLICE = 1_500_000
 
@@ -50,6 +50,13 @@ class Pretokens:
         else:
             self.lower, self.find = False, None
         self.memory: dict[str, bytes] = {}
+        self.ends = None  # which ids end a line (of the byte-level kind) or a word
+        if self.find:
+            suffix = spec["model"].get("end_of_word_suffix")
+            if self.lower and suffix or not self.lower and not suffix:
+                line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+                self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+                self.ends[[k for t, k in spec["model"]["vocab"].items() if t.endswith(suffix)] if self.lower else line] = True
 
     def split(self, text: str) -> list[str] | None:
         """The pre-tokens, or None where only the library may split."""
@@ -65,14 +72,30 @@ class Pretokens:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, unseen: set[str]) -> None:
-        if len(self.memory) + len(unseen) > REMEMBERED:
-            self.memory.clear()
-        asked = list(unseen)
-        for at in range(0, len(asked), 20_000):
-            some = asked[at : at + 20_000]
-            for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.memory[word] = np.array(e.ids, "<u4").tobytes()
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, each encoded alone. Words of letters go through the library as lines of joined texts,
+        whose ids fall apart again at the line ends or at the ids that end words."""
+        if self.ends is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        out: list[bytes] = [b""] * len(words)
+        plain = [k for k, w in enumerate(words) if w[w[0] == " " :].isalpha()]
+        rest = [k for k, w in enumerate(words) if not w[w[0] == " " :].isalpha()]
+        for lo in range(0, len(plain), 4000):
+            some = plain[lo : lo + 4000]
+            a = np.array(self.tokenizer.encode("".join([words[k] + "\n" for k in some]), add_special_tokens=False).ids, "<u4")
+            at = np.nonzero(self.ends[a])[0] + 1
+            if len(at) != len(some) or at[-1] != len(a):
+                rest += some
+                continue
+            raw, drop = a.tobytes(), 0 if self.lower else 4
+            edge = [0, *(4 * at).tolist()]
+            for j, k in enumerate(some):
+                out[k] = raw[edge[j] : edge[j + 1] - drop]
+        for lo in range(0, len(rest), 20_000):
+            some = rest[lo : lo + 20_000]
+            for k, e in zip(some, self.tokenizer.encode_batch([words[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, in order; null counts as empty."""
@@ -82,8 +105,10 @@ class Pretokens:
             unseen = words.difference(self.memory)
             if unseen:
                 if len(self.memory) + len(unseen) > REMEMBERED:
+                    self.memory.clear()
                     unseen = words
-                self.learn(unseen)
+                asked = list(unseen)
+                self.memory.update(zip(asked, self.encode(asked), strict=True))
             get = self.memory.__getitem__
             for text, f in zip(some, found, strict=True):
                 yield self.whole(text or "") if f is None else b"".join(map(get, f))

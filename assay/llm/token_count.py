@@ -61,9 +61,7 @@ def _counter(path: str, whole, limit: int):
                     more.clear()
                     unseen = words
                 asked = list(unseen)
-                for lo in range(0, len(asked), 20_000):
-                    part = asked[lo : lo + 20_000]
-                    more.update((w, len(e.ids) - 1) for w, e in zip(part, p.tokenizer.encode_batch(part, add_special_tokens=False), strict=True))
+                more.update((w, len(x) // 4 - 1) for w, x in zip(asked, p.encode(asked), strict=True))
                 for (t, f), r in zip(found, rest, strict=True):
                     n = len(p.tokenizer.encode(t, add_special_tokens=False).ids) if f is None else len(f) + sum(map(more.__getitem__, r))
                     out.append((len(t.encode()), n))
