@@ -39,6 +39,8 @@ SAMPLE_CHARS = 20_000
 BITS = 17
 STEPS = 40
 BLOCK = 256
+#: Characters labelled at a time.
+SLICE = 1_500_000
 #: Distinct words whose scores a Python worker remembers.
 REMEMBERED = 400_000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -256,7 +258,7 @@ class Labeller:
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
-        for some in slices(texts):
+        for some in slices(texts, SLICE):
             found = [words_of(t) for t in some]
             if not self.m.langs or not any(found):
                 out += [("und", 0.0)] * len(some)

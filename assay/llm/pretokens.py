@@ -25,8 +25,10 @@ WORD_SPLIT = f"{CLITIC}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"
 
 #: Distinct pre-tokens remembered by one Python worker, some 200 bytes each. A full memory starts anew.
 REMEMBERED = 500_000
-#: Characters split at a time; bounds the lists of pre-tokens.
-SLICE = 1_500_000
+#: Characters split at a time; so few that their pre-tokens stay in a core's cache between the split and the lookup.
+SLICE = 30_000
+#: Words of a joined text.
+LINES = 64
 
 
 class Pretokens:
@@ -80,9 +82,10 @@ class Pretokens:
         out: list[bytes] = [b""] * len(words)
         plain = [k for k, w in enumerate(words) if w[w[0] == " " :].isalpha()]
         rest = [k for k, w in enumerate(words) if not w[w[0] == " " :].isalpha()]
-        for lo in range(0, len(plain), 4000):
-            some = plain[lo : lo + 4000]
-            a = np.array(self.tokenizer.encode("".join([words[k] + "\n" for k in some]), add_special_tokens=False).ids, "<u4")
+        lines = [plain[lo : lo + LINES] for lo in range(0, len(plain), LINES)]
+        joined = ["".join([words[k] + "\n" for k in some]) for some in lines]
+        for some, e in zip(lines, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            a = np.array(e.ids, "<u4")
             at = np.nonzero(self.ends[a])[0] + 1
             if len(at) != len(some) or at[-1] != len(a):
                 rest += some
@@ -114,12 +117,12 @@ class Pretokens:
                 yield self.whole(text or "") if f is None else b"".join(map(get, f))
 
 
-def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+def slices(texts: list[str | None], limit: int = SLICE) -> Iterator[list[str | None]]:
     some, size = [], 0
     for t in texts:
         some.append(t)
         size += len(t or "")
-        if size >= SLICE:
+        if size >= limit:
             yield some
             some, size = [], 0
     if some:
