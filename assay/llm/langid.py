@@ -42,7 +42,7 @@ BLOCK = 256
 #: Characters labelled at a time.
 SLICE = 1_500_000
 #: Distinct words whose scores a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 find_words = re.compile(r"[^\W\d_]+").findall

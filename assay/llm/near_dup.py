@@ -34,7 +34,7 @@ from .components import components
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 #: Word hashes remembered by a Python worker.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 SIGNED = "doc_id long, same binary, n_shingles long, bands array<long>"
 
 _U = np.uint64

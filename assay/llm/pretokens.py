@@ -24,7 +24,7 @@ BYTE_SPLIT = f"{CLITIC}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]
 WORD_SPLIT = f"{CLITIC}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"
 
 #: Distinct pre-tokens remembered by one Python worker, some 200 bytes each. A full memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Characters split at a time; so few that their pre-tokens stay in a core's cache between the split and the lookup.
 SLICE = 30_000
 #: Words of a joined text.
