@@ -12,6 +12,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 
@@ -42,13 +43,13 @@ class Remembered(dict):
 
     def learn(self, words: set[str], find) -> list[str]:
         """Have all words here; which of them to forget after the slice."""
-        unseen = words.difference(self)
-        if not unseen:
+        asked = list(filterfalse(self.__contains__, words))
+        if not asked:
             return []
-        if len(self) + len(unseen) > self.limit:
+        if len(self) + len(asked) > self.limit:
             self.clear()
-            unseen = words
-        asked, once, last = list(unseen), self.once, self.met - 1
+            asked = list(words)
+        once, last = self.once, self.met - 1
         self.update(zip(asked, find(asked), strict=True))
         first = [w for w in asked if not once[hash(w) & last]]
         for w in first:
