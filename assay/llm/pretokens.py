@@ -12,7 +12,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 
@@ -25,45 +24,13 @@ BYTE_SPLIT = f"{CLITIC}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]
 WORD_SPLIT = f"{CLITIC}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"
 
 #: Distinct pre-tokens remembered by one Python worker, some 200 bytes each. A full memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Characters split at a time; so few that their pre-tokens stay in a core's cache between the split and the lookup.
 SLICE = 30_000
 #: Words of a joined text.
 LINES = 64
 
 
-class Remembered(dict):
-    """What was found for words, of which those met in one slice alone aren't kept: most distinct words never return."""
-
-    met = 1 << 22
-
-    def __init__(self, limit: int = REMEMBERED):
-        super().__init__()
-        self.limit, self.once, self.marks = limit, bytearray(self.met), 0
-
-    def learn(self, words: set[str], find) -> list[str]:
-        """Have all words here; which of them to forget after the slice."""
-        asked = list(filterfalse(self.__contains__, words))
-        if not asked:
-            return []
-        if len(self) + len(asked) > self.limit:
-            self.clear()
-            asked = list(words)
-        once, last = self.once, self.met - 1
-        self.update(zip(asked, find(asked), strict=True))
-        first = [w for w in asked if not once[hash(w) & last]]
-        for w in first:
-            once[hash(w) & last] = 1
-        self.marks += len(first)
-        if self.marks > self.met // 3:
-            self.once, self.marks = bytearray(self.met), 0
-        return first
-
-    def forget(self, words: list[str]) -> None:
-        for w in words:
-            del self[w]
-
-
 class Pretokens:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,7 +51,7 @@ class Pretokens:
             self.lower, self.find = True, re.compile(WORD_SPLIT).findall
         else:
             self.lower, self.find = False, None
-        self.memory, self.counts = Remembered(), Remembered()
+        self.memory: dict[str, bytes] = {}
         self.ends = None  # which ids end a line (of the byte-level kind) or a word
         if self.find:
             suffix = spec["model"].get("end_of_word_suffix")
@@ -137,11 +104,17 @@ class Pretokens:
         """Each text's ids as little-endian unsigned 32-bit integers, in order; null counts as empty."""
         for some in slices(texts):
             found = [self.split(t or "") for t in some]
-            once = self.memory.learn(set().union(*(f for f in found if f)), self.encode)
+            words = set().union(*(f for f in found if f))
+            unseen = words.difference(self.memory)
+            if unseen:
+                if len(self.memory) + len(unseen) > REMEMBERED:
+                    self.memory.clear()
+                    unseen = words
+                asked = list(unseen)
+                self.memory.update(zip(asked, self.encode(asked), strict=True))
             get = self.memory.__getitem__
             for text, f in zip(some, found, strict=True):
                 yield self.whole(text or "") if f is None else b"".join(map(get, f))
-            self.memory.forget(once)
 
 
 def slices(texts: list[str | None], limit: int = SLICE) -> Iterator[list[str | None]]:

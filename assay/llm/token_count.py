@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import texts
-from .pretokens import pretokens, slices
+from .pretokens import REMEMBERED, pretokens, slices
 
 COUNTED = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -49,17 +49,22 @@ def whole_tokens(path: str) -> frozenset[str]:
 def _counter(path: str, whole, limit: int):
     def count(batches):
         p, single = pretokens(path), whole.value
-        more = p.counts  # ids beyond one of pre-tokens that need merges
+        more: dict[str, int] = p.__dict__.setdefault("more", {})  # beyond one, of pre-tokens that need merges
         for b in batches:
             out = []
             for some in slices(b.column(1).to_pylist()):
                 found = [(t or "", p.split(t or "")) for t in some]
                 rest = [None if f is None else list(filterfalse(single.__contains__, f)) for _, f in found]
-                once = more.learn(set().union(*(r for r in rest if r)), lambda words: [len(x) // 4 - 1 for x in p.encode(words)])
+                words = set().union(*(r for r in rest if r))
+                unseen = words.difference(more)
+                if len(more) + len(unseen) > REMEMBERED:
+                    more.clear()
+                    unseen = words
+                asked = list(unseen)
+                more.update((w, len(x) // 4 - 1) for w, x in zip(asked, p.encode(asked), strict=True))
                 for (t, f), r in zip(found, rest, strict=True):
                     n = len(p.tokenizer.encode(t, add_special_tokens=False).ids) if f is None else len(f) + sum(map(more.__getitem__, r))
                     out.append((len(t.encode()), n))
-                more.forget(once)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64()), pa.array([n > limit for _, n in out], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return count
