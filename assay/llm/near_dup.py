@@ -7,9 +7,10 @@ least value, and an empty bin copies a bin that isn't, tried in an order that de
 (optimal densification). BANDS bands of ROWS bins are buckets. In each bucket every member is linked to the smallest
 doc_id only: a star, never all pairs. Candidates are confirmed on the full sets.
 
-A star can part two members that are alike from their bucket's centre only. So what the centre didn't confirm, and
-hasn't reached by other links either, goes on: its members are dealt anew into finer buckets, those of each pair of
-bands, get stars there, and go on in buckets of their own until each bucket's rest is one class. Nothing is capped.
+A star can part two members that are alike from their bucket's centre only. So wherever a bucket's members aren't one
+class after that, a member of each class goes on, another one in each bucket: the members of CENTRES classes are compared
+with those of all the bucket's other classes, these CENTRES leave the bucket, and so on until no bucket has two classes
+that weren't compared. Nothing is capped.
 
 Chance of missing a pair of similarity s: (1 - s^ROWS)^BANDS, 3e-6 at 0.8.
 
@@ -27,12 +28,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import remove, texts, written
+from .common import texts, written
 from .components import components
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
+CENTRES = 16
 #: Word hashes remembered by a Python worker.
 REMEMBERED = 200_000
 SIGNED = "doc_id long, same binary, n_shingles long, bands array<long>"
@@ -150,50 +153,54 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Da
     return met.unionByName(far)
 
 
-def _stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (key.., doc_id, n): each with its bucket's centre (u, nu), for buckets of two and more."""
-    keys = [c for c in members.columns if c not in ("doc_id", "n")]
-    centre = members.groupBy(*keys).agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("m")).filter(F.col("m") > 1)
-    return members.join(centre.select(*keys, F.col("c.doc_id").alias("u"), F.col("c.n").alias("nu")), keys)
+def _shared(signed: DataFrame) -> DataFrame:
+    """(band, hash, doc_id, n, u, nu): the buckets of two documents and more, with each bucket's centre. Centres are the
+    first by a hash of the doc_id, so that one document is the centre of most of the buckets that it shares with others."""
+    rows = signed.filter(F.col("bands").isNotNull()).select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "hash"))
+    centre = rows.groupBy("band", "hash").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("c"), F.count("*").alias("m")).filter(F.col("m") > 1)
+    return rows.join(centre.select("band", "hash", F.col("c.doc_id").alias("u"), F.col("c.n").alias("nu")), ["band", "hash"])
+
+
+def _rounds(classes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
+    """classes (band, hash, root, doc_id, n), one document for each class of a bucket. (pairs to compare: each with the
+    documents of the CENTRES first classes of its bucket; what goes on without these, where two and more are left)."""
+    first = Window.partitionBy("band", "hash").orderBy(F.xxhash64("root", F.lit(round_)), "root")
+    centres = classes.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= CENTRES).select("band", "hash", F.col("root").alias("ur"), F.col("doc_id").alias("u"), F.col("n").alias("nu"))
+    pairs = classes.join(centres, ["band", "hash"]).filter(F.col("root") != F.col("ur")).select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v"), F.least("n", "nu").alias("nu"), F.greatest("n", "nu").alias("nv")).distinct()
+    rest = classes.join(centres.select("band", "hash", F.col("ur").alias("root")), ["band", "hash", "root"], "left_anti")
+    return pairs, rest
 
 
 def links(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) between the documents that stand for their copies, enough to join each class."""
-    spark = signed.sparkSession
-    buckets = signed.filter(F.col("bands").isNotNull()).select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "hash"))
-    starred = written(_stars(buckets), "stars")
-    found, tested, round_ = None, None, 0
+    members = written(_shared(signed), "buckets")
+    pairs = members.filter(F.col("u") != F.col("doc_id")).select("u", F.col("doc_id").alias("v"), "nu", F.col("n").alias("nv")).distinct()
+    tested, rest, round_ = None, None, 0
     while True:
-        pairs = starred.filter(F.col("u") != F.col("doc_id")).select("u", F.col("doc_id").alias("v"), "nu", F.col("n").alias("nv")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        ends = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        sets = docs.join(ends, "doc_id", "left_semi")
-        got = written(_confirmed(pairs, sets, size, percent), "confirmed")
-        tested = got if tested is None else written(tested.unionByName(got), "tested")
-        yes = tested.filter("ok").select("u", "v")
-        root = written(components(yes), "roots")
-        # what isn't in the class of its bucket's centre goes on
-        of = root.select(F.col("node").alias("doc_id"), F.col("root").alias("dr"))
-        cu = root.select(F.col("node").alias("u"), F.col("root").alias("ur"))
-        rest = starred.join(of, "doc_id", "left").join(cu, "u", "left").filter(F.coalesce("dr", "doc_id") != F.coalesce("ur", "u"))
-        found = yes
-        if round_ == 0:
-            again = rest.select("doc_id").distinct()
-            rest_buckets = rest.select("band", "hash", "doc_id", "n")
-            two = signed.join(again, "doc_id", "left_semi").select("doc_id", F.posexplode("bands").alias("band2", "hash2"))
-            members = rest_buckets.join(two, "doc_id").filter(F.col("band2") != F.col("band"))
-        else:
-            members = rest.select("band", "hash", "band2", "hash2", "doc_id", "n")
-        last, starred = starred, written(_stars(members), "stars")
-        remove(last)
+        if not pairs.isEmpty():
+            ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+            got = written(_confirmed(pairs, docs.join(ends, "doc_id", "left_semi"), size, percent), "confirmed")
+            tested = got if tested is None else written(tested.unionByName(got), "tested")
+        if tested is None:
+            return members.sparkSession.createDataFrame([], "u long, v long")
+        root = components(tested.filter("ok").select("u", "v"))
+        if rest is None:
+            of = root.select(F.col("node").alias("doc_id"), "root")
+            rows = members.join(of, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+            # another member speaks for a class in each of the buckets that two classes share
+            rest = rows.groupBy("band", "hash", "root").agg(F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id", "n")).alias("c")).select("band", "hash", "root", "c.doc_id", "c.n")
+        else:  # classes that have been joined are one
+            of = root.select(F.col("node").alias("root"), F.col("root").alias("now"))
+            rest = rest.join(of, "root", "left").withColumn("root", F.coalesce("now", "root")).groupBy("band", "hash", "root").agg(F.min(F.struct("doc_id", "n")).alias("c")).select("band", "hash", "root", "c.doc_id", "c.n")
+        several = rest.groupBy("band", "hash").agg(F.count("*").alias("m")).filter(F.col("m") > 1).select("band", "hash")
+        rest = written(rest.join(several, ["band", "hash"], "left_semi"), "classes")
+        if rest.isEmpty():
+            return tested.filter("ok").select("u", "v")
         round_ += 1
-    if found is None:
-        return spark.createDataFrame([], "u long, v long")
-    return found
+        pairs, rest = _rounds(rest, round_)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
