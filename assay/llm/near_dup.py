@@ -26,7 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +36,8 @@ from .components import components
 BANDS, ROWS = 48, 7
 BINS = BANDS * ROWS
 CENTRES = 64
+#: doc_ids that are broadcast at most (16 bytes each, some 50 in the hash table); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Word hashes remembered by a Python worker.
 REMEMBERED = 200_000
 SIGNED = "doc_id long, same binary, n_shingles long, bands array<long>"
@@ -153,13 +155,18 @@ def _confirmer(size: int, percent: int):
     return confirm
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs (u the centre, v), with ok. Pairs whose sizes alone forbid a link never meet their texts."""
-    able = pairs.filter("100 * least(nu, nv) >= %d * greatest(nu, nv)" % percent).select("u", "v")
-    far = pairs.filter("100 * least(nu, nv) < %d * greatest(nu, nv)" % percent).select("u", "v", F.lit(False).alias("ok"))
-    met = able.join(sets.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
-    met = met.select("u", "v", "tu", "tv").mapInArrow(_confirmer(size, percent), "u long, v long, ok boolean")
-    return met.unionByName(far)
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """pairs (u, v) of which each is compared on the full sets, with ok. Only texts of pairs are shuffled as long as
+    their doc_ids are few enough to broadcast."""
+    ends = written(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ends")
+    sets = docs.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "doc_id", "left_semi")
+    met = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
+    return met.select("u", "v", "tu", "tv").mapInArrow(_confirmer(size, percent), "u long, v long, ok boolean")
+
+
+def _able(n: str, m: str, percent: int) -> Column:
+    """Whether sets of these sizes can be alike at all."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
 def _shared(signed: DataFrame) -> DataFrame:
@@ -170,12 +177,13 @@ def _shared(signed: DataFrame) -> DataFrame:
     return rows.join(centre.select("band", "hash", F.col("c.doc_id").alias("u"), F.col("c.n").alias("nu")), ["band", "hash"])
 
 
-def _rounds(classes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
+def _rounds(classes: DataFrame, round_: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """classes (band, hash, root, doc_id, n), one document for each class of a bucket. (pairs to compare: each with the
     documents of the CENTRES first classes of its bucket; what goes on without these, where two and more are left)."""
     first = Window.partitionBy("band", "hash").orderBy(F.xxhash64("root", F.lit(round_)), "root")
     centres = classes.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= CENTRES).select("band", "hash", F.col("root").alias("ur"), F.col("doc_id").alias("u"), F.col("n").alias("nu"))
-    pairs = classes.join(centres, ["band", "hash"]).filter(F.col("root") != F.col("ur")).select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v"), F.least("n", "nu").alias("nu"), F.greatest("n", "nu").alias("nv")).distinct()
+    met = classes.alias("x").join(centres.alias("c"), (F.col("x.band") == F.col("c.band")) & (F.col("x.hash") == F.col("c.hash")) & (F.col("root") != F.col("ur")) & _able("n", "nu", percent))
+    pairs = met.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
     rest = classes.join(centres.select("band", "hash", F.col("ur").alias("root")), ["band", "hash", "root"], "left_anti")
     return pairs, rest
 
@@ -183,18 +191,17 @@ def _rounds(classes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
 def links(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) between the documents that stand for their copies, enough to join each class."""
     members = written(_shared(signed), "buckets")
-    pairs = members.filter(F.col("u") != F.col("doc_id")).select("u", F.col("doc_id").alias("v"), "nu", F.col("n").alias("nv")).distinct()
+    pairs = members.filter((F.col("u") != F.col("doc_id")) & _able("n", "nu", percent)).select("u", F.col("doc_id").alias("v")).distinct()
     tested, rest, round_ = None, None, 0
     while True:
         if tested is not None:
             pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")
         if not pairs.isEmpty():
-            ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-            got = written(_confirmed(pairs, docs.join(ends, "doc_id", "left_semi"), size, percent), "confirmed")
+            got = written(_confirmed(pairs, docs, size, percent), "confirmed")
             tested = got if tested is None else written(tested.unionByName(got), "tested")
         if tested is None:
-            return members.sparkSession.createDataFrame([], "u long, v long")
+            tested = written(members.sparkSession.createDataFrame([], "u long, v long, ok boolean"), "confirmed")
         root = components(tested.filter("ok").select("u", "v"))
         if rest is None:
             of = root.select(F.col("node").alias("doc_id"), "root")
@@ -209,7 +216,7 @@ def links(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
         if rest.isEmpty():
             return tested.filter("ok").select("u", "v")
         round_ += 1
-        pairs, rest = _rounds(rest, round_)
+        pairs, rest = _rounds(rest, round_, percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
