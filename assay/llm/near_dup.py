@@ -194,12 +194,13 @@ def _rounds(classes: DataFrame, round_: int, percent: int) -> tuple[DataFrame, D
     """classes (band, hash, root, doc_id, n), one document for each class of a bucket. (pairs to compare: each with the
     documents of the CENTRES first classes of its bucket; what goes on without these, where two and more are left)."""
     first = Window.partitionBy("band", "hash").orderBy(F.xxhash64("root", F.lit(round_)), "root")
-    centres = classes.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= CENTRES).select("band", "hash", F.col("root").alias("ur"), F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("sketch_a").alias("ua"), F.col("sketch_b").alias("ub"))
+    classes = classes.withColumn("r", F.row_number().over(first))
+    centres = classes.filter(F.col("r") <= CENTRES).select(F.col("r").alias("cr"), "band", "hash", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("sketch_a").alias("ua"), F.col("sketch_b").alias("ub"))
     agree = 128 - F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("ua"))) - F.bit_count(F.col("sketch_b").bitwiseXOR(F.col("ub")))
     near = (F.least("n", "nu") < SKETCHED) | (agree >= AGREE)
-    met = classes.alias("x").join(centres.alias("c"), (F.col("x.band") == F.col("c.band")) & (F.col("x.hash") == F.col("c.hash")) & (F.col("root") != F.col("ur")) & _able("n", "nu", percent) & near)
+    met = classes.alias("x").join(centres.alias("c"), (F.col("x.band") == F.col("c.band")) & (F.col("x.hash") == F.col("c.hash")) & (F.col("r") > F.col("cr")) & _able("n", "nu", percent) & near)
     pairs = met.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
-    rest = classes.join(centres.select("band", "hash", F.col("ur").alias("root")), ["band", "hash", "root"], "left_anti")
+    rest = classes.filter(F.col("r") > CENTRES).drop("r")
     return pairs, rest
 
 
