@@ -3,7 +3,7 @@
 Every version of every path is addressed by its content (SHA-256). The ledger remembers which (blob, rule version)
 pairs were scanned, and their findings. A scan takes the versions' distinct blobs, leaves out pairs that the ledger
 has, runs the rules over the rest once each, adds both to the ledger, and joins findings back to all paths that have
-or had the blob. Copies are reduced to one before they are shuffled.
+or had the blob. Of copies only one text is scanned.
 
 A rule is a regular expression, the least length of what it finds, and substrings one of which any match contains;
 texts without them never meet the expression. Positions come from splitting the text at the matches: a match starts
@@ -20,8 +20,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, written
 
+#: New blobs whose addresses are broadcast at most, some 200 bytes each; for more, texts are shuffled by address.
+BROADCAST_BLOBS = 500_000
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -99,19 +101,25 @@ class Ledger:
         return self.spark.read.schema(KEPT).parquet(self.path)
 
     def unseen(self, versions: DataFrame) -> DataFrame:
-        """blob, text, due: the distinct blobs of versions with the rule versions that the ledger lacks for them."""
+        """blob, text, due: the distinct blobs of versions with the rule versions that the ledger lacks for them, each
+        from its first path (repeated where rows are). Only addresses are shuffled as long as the new blobs are few
+        enough to broadcast theirs."""
         every = F.array(*map(F.lit, self.names))
-        blobs = versions.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
-        blobs = blobs.groupBy("blob").agg(F.min("text").alias("text"))
+        rows = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
+        first = rows.groupBy("blob").agg(F.min("path").alias("first"))
         seen = self._read()
         if seen is None:
-            return blobs.withColumn("due", every)
-        had = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("had"))
-        due = F.when(F.col("had").isNull(), every).otherwise(F.array_except(every, "had"))
-        return blobs.join(had, "blob", "left").withColumn("due", due).filter(F.size("due") > 0).drop("had")
+            first = first.withColumn("due", every)
+        else:
+            had = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("had"))
+            due = F.when(F.col("had").isNull(), every).otherwise(F.array_except(every, "had"))
+            first = first.join(had, "blob", "left").withColumn("due", due).filter(F.size("due") > 0).drop("had")
+        first = written(first.withColumnRenamed("blob", "own"), "blobs")
+        few = F.broadcast(first) if first.count() <= BROADCAST_BLOBS else first
+        return rows.join(few, (F.col("blob") == F.col("own")) & F.col("path").eqNullSafe(F.col("first"))).select("blob", "text", "due")
 
     def findings(self, versions: DataFrame) -> DataFrame:
-        """versions: (text,..), any number of versions of any paths. blob, spans of all of the ledger's blobs in which
+        """versions: (path, text), any number of versions of any paths. blob, spans of all of the ledger's blobs in which
         this ledger's rules find something, after scanning what was unseen of versions. One append commits the scan;
         an append that fails leaves the ledger as it was, and what two scans add at once for a blob agrees."""
         rows, low = self.unseen(versions).withColumn("low", F.lower("text")), F.col("low")
