@@ -42,7 +42,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret in a text gives way to a mark; documents stay."""
     rows = docs.select(*COLUMNS)
-    found = secret_scan.Ledger(spark).findings(rows.select("text")).withColumnRenamed("spans", "found")
+    found = secret_scan.Ledger(spark).findings(rows.select(F.col("doc_id").alias("path"), "text")).withColumnRenamed("spans", "found")
     out = rows.withColumn("blob", secret_scan.blob_id(F.col("text"))).join(found, "blob", "left")
     text = F.when(F.col("found").isNotNull(), secret_scan.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
     return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("found").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
