@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch, written
 
-#: New blobs whose addresses are broadcast at most, some 200 bytes each; for more, texts are shuffled by address.
-BROADCAST_BLOBS = 500_000
+#: New blobs whose addresses are broadcast at most, some 350 bytes each; for more, texts are shuffled by address.
+BROADCAST_BLOBS = 300_000
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
