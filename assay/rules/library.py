@@ -74,12 +74,12 @@ where f.source_system_id = :source_system_id and {covers("f.active_from", "f.act
   and (b.first is null or b.first > cast(date_add(:period_end, f.delivery_days) as timestamp))"""
 
 VOLUME = """
-select x.territory_code || ':' || x.product_key as subject_key, cast(x.now as string) as offending_value,
-  cast(cast(((cast(abs(x.now - x.prior) * 10000 as bigint) * 2000 + cast(x.prior * 10000 as bigint)) div (2 * cast(x.prior * 10000 as bigint))) / 10 as decimal(18,1)) as string) as observed_value, cast(:threshold_pct as string) as expected_value
-from (select t.territory_code, t.product_key, sum(case when t.txn_date >= :period_start then t.quantity end) as now, sum(case when t.txn_date < :period_start then t.quantity end) as prior
+select x.territory_code || ':' || x.product_key as subject_key, cast(x.units as string) as offending_value,
+  cast(cast(((cast(abs(x.units - x.prior) * 10000 as bigint) * 2000 + cast(x.prior * 10000 as bigint)) div (2 * cast(x.prior * 10000 as bigint))) / 10 as decimal(18,1)) as string) as observed_value, cast(:threshold_pct as string) as expected_value
+from (select t.territory_code, t.product_key, sum(case when t.txn_date >= :period_start then t.quantity end) as units, sum(case when t.txn_date < :period_start then t.quantity end) as prior
   from sales_transaction t where t.source_system_id = :source_system_id and t.batch_id <= :reference_watermark and t.txn_date < :period_end
     and t.txn_date >= date_sub(:period_start, datediff(:period_end, :period_start)) group by t.territory_code, t.product_key) x
-where x.now is not null and x.prior is not null and x.prior > 0 and abs(x.now - x.prior) * 100 > :threshold_pct * x.prior"""
+where x.units is not null and x.prior is not null and x.prior > 0 and abs(x.units - x.prior) * 100 > :threshold_pct * x.prior"""
 
 MDM, OPS = "Master Data Management", "Commercial Operations"
 
