@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -39,6 +41,14 @@ class SourcePeriodScope:
     end: dt.date  # exclusive
 
 
+def month(text: str) -> tuple[dt.date, dt.date]:
+    """The half-open range of a month written YYYY-MM."""
+    if not re.fullmatch(r"[0-9]{4}-(0[1-9]|1[0-2])", text) or text[:4] == "0000":
+        raise ValueError(f"a period is YYYY-MM, not {text!r}")
+    y, m = int(text[:4]), int(text[5:])
+    return dt.date(y, m, 1), dt.date(y + m // 12, m % 12 + 1, 1)
+
+
 @dataclass(frozen=True)
 class RunResult:
     rule_run_id: int
@@ -54,8 +64,9 @@ class RunResult:
 class Engine:
     """store: where rules, runs and findings live. The session's views are the readable tables."""
 
-    def __init__(self, store: Store):
-        self.store, self.spark = store, store.spark
+    def __init__(self, store: Store, refresh=None):
+        """refresh: called before a scope is resolved, to make the views anew where their tables grow."""
+        self.store, self.spark, self.refresh = store, store.spark, refresh or (lambda: None)
 
     # --- registry
 
@@ -94,6 +105,7 @@ class Engine:
     # --- runs
 
     def _resolve(self, scope) -> dict:
+        self.refresh()
         if isinstance(scope, BatchScope):
             b = self.spark.table("data_batch").filter(F.col("batch_id") == scope.batch_id).first()
             if b is None:
@@ -108,7 +120,7 @@ class Engine:
         return at | {"as_of": at["end"] - dt.timedelta(days=1)}
 
     def _bindings(self, version, at: dict) -> dict:
-        have = json.loads(version.parameters) | {"batch_id": at["batch_id"], "as_of_date": at["as_of"], "reference_watermark": at["watermark"], "period_start": at["start"], "period_end": at["end"], "source_system_id": at["source_system_id"]}
+        have = json.loads(version.parameters) | {"batch_id": at["batch_id"], "as_of_date": at["as_of"], "reference_watermark": at["watermark"], "scope_period_start": at["start"], "scope_period_end": at["end"], "scope_source_system_id": at["source_system_id"]}
         return {n: have[n] for n in names(version.predicate_sql)}
 
     def _evaluate(self, run_id: int, version, at: dict) -> tuple[str, int, str | None]:
@@ -126,7 +138,7 @@ class Engine:
                 if n:
                     self.store.append("finding", new.select(
                         F.lit(run_id).cast("long").alias("rule_run_id"), F.lit(version.rule_version_id).cast("long").alias("rule_version_id"), F.lit(batch).cast("long").alias("batch_id"), F.lit(at["scope_key"]).alias("scope_key"),
-                        F.lit(version.subject_type).alias("subject_type"), *COLUMNS, F.lit(version.severity).alias("severity"), F.lit(dt.datetime.now()).alias("detected_at"),
+                        F.lit(version.subject_type).alias("subject_type"), *COLUMNS, F.lit(version.severity).alias("severity"), F.lit(dt.datetime.now(dt.timezone.utc)).alias("detected_at"),
                     ))
                 new.unpersist()
             return "EVALUATED", n, None
@@ -139,11 +151,13 @@ class Engine:
         if replay_of is None:
             at, settings = self._resolve(scope), SETTINGS
         else:
+            self.refresh()
             at, settings, versions = self._recorded(replay_of)
         for k, v in settings.items():
             self.spark.conf.set(k, v)
         if replay_of is None:
             versions = self.active_versions(at["types"], rule_keys)
+        at = at | {"correlation_id": str(uuid.uuid4())}
         with self.store.lock:
             run_id = self.store.next("rule_run", "rule_run_id")
             self._event(run_id, replay_of, at, settings, "RUNNING", None)
@@ -160,8 +174,8 @@ class Engine:
         return RunResult(run_id, at["scope_key"], status, outcomes)
 
     def _event(self, run_id, replay_of, at, settings, status, error) -> None:
-        scope = json.dumps({k: str(v) if isinstance(v, dt.date) else v for k, v in at.items()}, sort_keys=True)
-        self.store.append("rule_run", [(run_id, replay_of, at["scope_key"], scope, at["as_of"], at["watermark"], json.dumps(settings, sort_keys=True), status, error, self.store.next("rule_run", "seq"))])
+        scope = json.dumps({k: str(v) if isinstance(v, dt.date) else v for k, v in at.items() if k != "correlation_id"}, sort_keys=True)
+        self.store.append("rule_run", [(run_id, replay_of, at["scope_key"], scope, at["as_of"], at["watermark"], json.dumps(settings, sort_keys=True), status, error, at.get("correlation_id"), dt.datetime.now(dt.timezone.utc), self.store.next("rule_run", "seq"))])
 
     def _recorded(self, run_id: int):
         r = self.store.latest("rule_run", "rule_run_id").filter(F.col("rule_run_id") == run_id).first()
@@ -182,7 +196,8 @@ class Engine:
 
     def findings(self, *, domain=None, rule_key=None, severity=None, batch_id=None, detected_from=None, detected_to=None) -> DataFrame:
         rules = self.store.latest("rule", "rule_key").select("rule_id", "rule_key", "domain", "dimension", "owning_function")
-        df = self.store.read("finding").join(self.store.read("rule_version").select("rule_version_id", "rule_id", "version_no"), "rule_version_id").join(rules, "rule_id")
+        named = self.store.read("finding").withColumn("finding_id", F.xxhash64("rule_version_id", "scope_key", "subject_key"))
+        df = named.join(self.store.read("rule_version").select("rule_version_id", "rule_id", "version_no"), "rule_version_id").join(rules, "rule_id")
         for column, value in (("domain", domain), ("rule_key", rule_key), ("severity", severity), ("batch_id", batch_id)):
             if value is not None:
                 df = df.filter(F.col(column) == value)
@@ -192,6 +207,27 @@ class Engine:
             df = df.filter(F.col("detected_at") < F.lit(detected_to))
         return df.orderBy("detected_at", "rule_version_id", "scope_key", "subject_key")
 
+    def scope_key(self, scope) -> str:
+        return self._resolve(scope)["scope_key"]
+
+    def errored(self, scope_key: str) -> list:
+        """(rule_key, version_no, error_detail) of the rules that the scope's latest run could not evaluate."""
+        last = self.store.read("rule_run").filter(F.col("scope_key") == scope_key).agg(F.max("rule_run_id").alias("rule_run_id"))
+        bad = self.store.read("rule_run_rule_version").filter("outcome = 'ERRORED'").join(F.broadcast(last), "rule_run_id", "left_semi")
+        named = bad.join(self.store.read("rule_version").select("rule_version_id", "rule_id", "version_no"), "rule_version_id").join(self.store.latest("rule", "rule_key"), "rule_id")
+        return named.select("rule_key", "version_no", "error_detail").orderBy("rule_key").collect()
+
+    def retire_feed(self, source_system_id: int, end: dt.date) -> bool:
+        """Ends the source's newest expectation at a day, by an event that supersedes it; False if there is none."""
+        with self.store.lock:
+            old = self.store.latest("feed_expectation", "feed_expectation_id").filter(F.col("source_system_id") == source_system_id).orderBy(F.desc("feed_expectation_id")).first()
+            if old is None:
+                return False
+            if end <= old.active_from:
+                raise ValueError(f"an expectation from {old.active_from} can't end at {end}")
+            self.store.append("feed_expectation", [(old.feed_expectation_id, old.source_system_id, old.cadence, old.delivery_days, old.active_from, end, self.store.next("feed_expectation", "seq"))])
+        return True
+
     def summary(self, scope) -> dict[str, dict[str, int]]:
         """Findings of a scope by domain, rule and severity; a subject that several versions of a rule found counts once."""
         at = self._resolve(scope)

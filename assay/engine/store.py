@@ -7,12 +7,22 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CHAIN = "source_system_id smallint, source_key string, valid_from date, batch_id long, is_deleted boolean"
 SCHEMAS = {
     "rule": "rule_id int, rule_key string, domain string, dimension string, owning_function string, is_active boolean, seq long",
     "rule_version": "rule_version_id long, rule_id int, version_no int, severity string, subject_type string, predicate_sql string, parameters string",
-    "rule_run": "rule_run_id long, replay_of_rule_run_id long, scope_key string, scope string, as_of_date date, reference_watermark long, session_settings string, status string, error_detail string, seq long",
+    "rule_run": "rule_run_id long, replay_of_rule_run_id long, scope_key string, scope string, as_of_date date, reference_watermark long, session_settings string, status string, error_detail string, correlation_id string, happened_at timestamp, seq long",
     "rule_run_rule_version": "rule_run_id long, rule_version_id long, outcome string, finding_count long, error_detail string",
     "finding": "rule_run_id long, rule_version_id long, batch_id long, scope_key string, subject_type string, subject_key string, offending_value string, observed_value string, expected_value string, severity string, detected_at timestamp",
+    "source_system": "source_system_id smallint, code string, name string",
+    "data_batch": "batch_id long, source_system_id smallint, arrival_ts timestamp, period_start date, period_end date, record_count int",
+    "hcp": f"hcp_id long, {_CHAIN}, npi string, first_name string, last_name string, postal_code string, licence_state string, hco_source_key string",
+    "hco": f"hco_id long, {_CHAIN}, name string, postal_code string",
+    "product": f"product_id long, {_CHAIN}, name string, uom string, status string, retired_on date",
+    "territory": f"territory_id long, {_CHAIN}, code string, name string",
+    "territory_alignment": "alignment_id long, batch_id long, source_system_id smallint, hcp_source_key string, territory_code string, effective_from date, effective_to date",
+    "sales_transaction": "txn_id long, batch_id long, source_system_id smallint, source_txn_key string, product_key string, hcp_key string, territory_code string, txn_date date, quantity decimal(18,4), uom string",
+    "feed_expectation": "feed_expectation_id int, source_system_id smallint, cadence string, delivery_days int, active_from date, active_to date, seq long",
 }
 
 

@@ -19,10 +19,10 @@ RULES = {r.rule_key: r for r in shipped()}
 
 def bound(sql: str, batches: tuple[int, ...] = (), source: str = "") -> str:
     """The statement with the scope's values in the place of its parameters."""
-    values = {"as_of_date": f"date'{PINS['as_of_date']}'", "reference_watermark": str(PINS["reference_watermark"]), "period_start": f"date'{PINS['period_start']}'", "period_end": f"date'{PINS['period_end']}'", "threshold_pct": "20"}
+    values = {"as_of_date": f"date'{PINS['as_of_date']}'", "reference_watermark": str(PINS["reference_watermark"]), "scope_period_start": f"date'{PINS['period_start']}'", "scope_period_end": f"date'{PINS['period_end']}'", "threshold_pct": "20"}
     if batches:
         sql = sql.replace("= :batch_id", f"in ({', '.join(map(str, batches))})")
-    sql = re.sub(r"t\.source_system_id = :source_system_id and ", source, sql)
+    sql = re.sub(r"t\.source_system_id = :scope_source_system_id and ", source, sql)
     return re.sub(r":(\w+)", lambda m: values.get(m[1], m[0]), sql)
 
 

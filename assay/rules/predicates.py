@@ -10,7 +10,7 @@ from .definition import RuleDefinitionError
 ALLOWED = ("source_system", "data_batch", "hcp", "hco", "product", "territory", "territory_alignment", "sales_transaction", "feed_expectation")
 MASTER = ("hcp", "hco", "product", "territory")
 DELIVERED = ("territory_alignment", "sales_transaction", "data_batch")
-ENGINE = ("batch_id", "as_of_date", "reference_watermark", "period_start", "period_end", "source_system_id")
+ENGINE = ("batch_id", "as_of_date", "reference_watermark", "scope_period_start", "scope_period_end", "scope_source_system_id")
 COLUMNS = ["subject_key", "offending_value", "observed_value", "expected_value"]
 CHANGING = "insert update delete merge drop create alter truncate grant revoke call copy set use cache refresh".split()
 VOLATILE = "now current_timestamp current_date current_time localtimestamp current_user user session_user current_database current_catalog current_schema current_timezone rand randn random uuid shuffle monotonically_increasing_id spark_partition_id input_file_name unix_timestamp version java_method reflect".split()
