@@ -8,10 +8,10 @@ least value, and an empty bin copies a bin that isn't, tried in an order that de
 doc_id only: a star, never all pairs. Candidates are confirmed on the full sets.
 
 A star can part two members that are alike from their bucket's centre only. So wherever a bucket's members aren't one
-class after that, a member of each class goes on, another one in each bucket: the members of CENTRES classes are compared
-with those of all the bucket's other classes (but for pairs whose sizes or sketches rule a link out), these CENTRES leave the bucket, and so on until no bucket has two classes
-that weren't compared. Nothing is capped, but one member speaks for a class in each bucket: a document that
-hangs on a class by one or two links only can be missed though it shares buckets with them (12 of 51,282 in a corpus).
+class after that, all its members of different classes are compared with each other, exactly and on the full sets: a
+bucket is dealt by a hash into blocks of some BLOCK members, and each pair of blocks is a group of its own, in which
+shared shingles are counted for all its pairs at once. No pair makes a row, and only links that join two classes are
+kept. Nothing is capped: two documents that are alike and share a bucket always end in one class.
 
 Chance of missing a pair of similarity s: (1 - s^ROWS)^BANDS, 1.2e-5 at 0.8, 1e-8 at 0.85.
 
@@ -29,14 +29,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import texts, written
+from .common import parts, texts, written
 from .components import components
 
 BANDS, ROWS = 48, 7
 BINS = BANDS * ROWS
-CENTRES = 64
+#: Members and shingles of a bucket's block, on average.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Cells of the matrix in which a group's shared shingles are counted at a time.
+CELLS = 4_000_000
 #: Bits of two sketches that agree at least in pairs of the later rounds, where both sets have SKETCHED shingles and more:
 #: 115 are expected at a similarity of 0.8, with a deviation of 3.4.
 AGREE, SKETCHED = 100, 128
@@ -191,49 +193,113 @@ def _shared(signed: DataFrame) -> DataFrame:
     return rows.join(centre.select("band", "hash", F.col("c.doc_id").alias("u"), F.col("c.n").alias("nu")), ["band", "hash"])
 
 
-def _rounds(classes: DataFrame, round_: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """classes (band, hash, root, doc_id, n), one document for each class of a bucket. (pairs to compare: each with the
-    documents of the CENTRES first classes of its bucket; what goes on without these, where two and more are left)."""
-    first = Window.partitionBy("band", "hash").orderBy(F.xxhash64("root", F.lit(round_)), "root")
-    classes = classes.withColumn("r", F.row_number().over(first))
-    centres = classes.filter(F.col("r") <= CENTRES).select(F.col("r").alias("cr"), "band", "hash", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("sketch_a").alias("ua"), F.col("sketch_b").alias("ub"))
-    agree = 128 - F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("ua"))) - F.bit_count(F.col("sketch_b").bitwiseXOR(F.col("ub")))
-    near = (F.least("n", "nu") < SKETCHED) | (agree >= AGREE)
-    met = classes.alias("x").join(centres.alias("c"), (F.col("x.band") == F.col("c.band")) & (F.col("x.hash") == F.col("c.hash")) & (F.col("r") > F.col("cr")) & _able("n", "nu", percent) & near)
-    pairs = met.select(F.least("u", "doc_id").alias("u"), F.greatest("u", "doc_id").alias("v")).distinct()
-    rest = classes.filter(F.col("r") > CENTRES).drop("r")
-    return pairs, rest
+def _setter(size: int):
+    def sets(batches):
+        for b in batches:
+            made = [shingles(words_of(t), size).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "shingles"])
+
+    return sets
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set on the left shares with each on the right; a set has each hash once."""
+    every = [*left, *right]
+    row = np.repeat(np.arange(len(every)), [len(h) for h in every])
+    _, col, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    several = n > 1
+    keep = several[col]
+    row, col = row[keep], (np.cumsum(several) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    step, width = max(1, CELLS // len(every)), int(several.sum())
+    for lo in range(0, width, step):
+        at = slice(*np.searchsorted(col, [lo, lo + step]))
+        cells = np.zeros((len(every), min(step, width - lo)), np.float32)
+        cells[row[at], col[at] - lo] = 1
+        out += (cells[: len(left)] @ cells[len(left) :].T).astype(np.int64)
+    return out
+
+
+def joining(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """(doc_id, root, set) of two blocks, or twice the same: alike pairs (u, v), enough to join the classes that any of
+    these pairs join."""
+    n, m = np.array([len(h) for _, _, h in left]), np.array([len(h) for _, _, h in right])
+    able = np.minimum.outer(n, m) * 100 >= np.maximum.outer(n, m) * percent
+    able &= np.not_equal.outer(np.array([r for _, r, _ in left]), np.array([r for _, r, _ in right]))
+    if not able.any():
+        return []
+    x, y = np.nonzero(able.any(axis=1))[0], np.nonzero(able.any(axis=0))[0]
+    both = shared_counts([left[k][2] for k in x], [right[k][2] for k in y])
+    ok = able[np.ix_(x, y)] & (100 * both >= percent * (n[x][:, None] + m[y] - both))
+    root: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while root.setdefault(r, r) != r:
+            root[r] = root[root[r]]
+            r = root[r]
+        return r
+
+    out = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(ok)), strict=True):
+        (u, ru, _), (v, rv, _) = left[x[i]], right[y[j]]
+        a, b = find(ru), find(rv)
+        if a != b:
+            root[a] = b
+            out.append((u, v))
+    return out
+
+
+def _joiner(percent: int):
+    """Rows (band, hash, i, j, block, doc_id, root, shingles) sorted by the first four, a group each."""
+
+    def closed(key, blocks):
+        return joining(list(blocks[key[2]].values()), list(blocks[key[3]].values()), percent)
+
+    def join(batches):
+        key, blocks = None, {}
+        for b in batches:
+            out = []
+            for *now, block, d, r, h in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                if now != key:
+                    if key is not None:
+                        out += closed(key, blocks)
+                    key, blocks = now, {now[2]: {}, now[3]: {}}
+                blocks[block][d, h] = (d, r, np.frombuffer(h, np.uint64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
+        if key is not None and (out := closed(key, blocks)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
+
+    return join
+
+
+def _across(members: DataFrame, root: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) between members of a bucket that are of different classes."""
+    spark = members.sparkSession
+    of = root.select(F.col("node").alias("doc_id"), "root")
+    rows = members.join(of, "doc_id", "left").select("band", "hash", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    several = rows.groupBy("band", "hash").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("m"), F.sum("n").alias("s")).filter("a < z")
+    k = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int")
+    left = written(rows.join(several.select("band", "hash", k.alias("k")), ["band", "hash"]).distinct(), "classes")
+    ends = written(left.select("doc_id").distinct(), "ends")
+    few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+    sets = docs.join(few, "doc_id", "left_semi").mapInArrow(_setter(size), "doc_id long, shingles binary")
+    block = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), "k").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = block.select("band", "hash", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "root").join(sets, "doc_id")
+    key = ["band", "hash", "i", "j"]
+    dealt = dealt.select(*key, "block", "doc_id", "root", "shingles").repartition(parts(spark), *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(_joiner(percent), "u long, v long")
 
 
 def links(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) between the documents that stand for their copies, enough to join each class."""
     members = written(_shared(signed), "buckets")
-    pairs = members.filter((F.col("u") != F.col("doc_id")) & _able("n", "nu", percent)).select("u", F.col("doc_id").alias("v")).distinct()
-    tested, rest, round_ = None, None, 0
-    while True:
-        if tested is not None:
-            pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if not pairs.isEmpty():
-            got = written(_confirmed(pairs, docs, size, percent), "confirmed")
-            tested = got if tested is None else written(tested.unionByName(got), "tested")
-        if tested is None:
-            tested = written(members.sparkSession.createDataFrame([], "u long, v long, ok boolean"), "confirmed")
-        root = components(tested.filter("ok").select("u", "v"))
-        if rest is None:
-            of = root.select(F.col("node").alias("doc_id"), "root")
-            rows = members.join(of, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-            # another member speaks for a class in each of the buckets that two classes share
-            rest = rows.groupBy("band", "hash", "root").agg(F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id", "n")).alias("c")).select("band", "hash", "root", "c.doc_id", "c.n").join(signed.select("doc_id", "sketch_a", "sketch_b").dropDuplicates(["doc_id"]), "doc_id")
-        else:  # classes that have been joined are one
-            of = root.select(F.col("node").alias("root"), F.col("root").alias("now"))
-            rest = rest.join(of, "root", "left").withColumn("root", F.coalesce("now", "root")).groupBy("band", "hash", "root").agg(F.min(F.struct("doc_id", "n", "sketch_a", "sketch_b")).alias("c")).select("band", "hash", "root", "c.*")
-        several = rest.groupBy("band", "hash").agg(F.count("*").alias("m")).filter(F.col("m") > 1).select("band", "hash")
-        rest = written(rest.join(several, ["band", "hash"], "left_semi"), "classes")
-        if rest.isEmpty():
-            return tested.filter("ok").select("u", "v")
-        round_ += 1
-        pairs, rest = _rounds(rest, round_, percent)
+    pairs = written(members.filter((F.col("u") != F.col("doc_id")) & _able("n", "nu", percent)).select("u", F.col("doc_id").alias("v")).distinct(), "pairs")
+    sure = written(_confirmed(pairs, docs, size, percent).filter("ok").select("u", "v"), "confirmed")
+    more = written(_across(members, components(sure), docs, size, percent), "links")
+    return sure.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

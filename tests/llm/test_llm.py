@@ -385,6 +385,28 @@ def test_near_duplicates(spark, rows):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_that_hang_on_few_links(spark):
+    """Families in which some documents are alike to few members of their class only."""
+    pick, every = random.Random(1), []
+    for f in range(40):
+        for _ in range(20):
+            c = [f"f{f}w{k}" for k in range(150)]
+            for _ in range(pick.choice([1, 2, 2, 3, 3, 4])):
+                c[pick.randrange(150)] = f"x{pick.randrange(10**6)}"
+            every.append((len(every), " ".join(c)))
+    got = near_dup.near_duplicates(frame(spark, every), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(every, 4, 80)
+
+
+@pytest.mark.parametrize("cells", [1, 100, near_dup.CELLS])
+def test_shared_counts(cells, monkeypatch):
+    monkeypatch.setattr(near_dup, "CELLS", cells)
+    pick = random.Random(3)
+    sets = [np.array(sorted(pick.sample(range(60), pick.randrange(1, 40))), np.uint64) for _ in range(12)]
+    got = near_dup.shared_counts(sets[:5], sets[3:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[3:]] for a in sets[:5]]
+
+
 def test_near_duplicates_edges(spark):
     got = near_dup.near_duplicates(frame(spark, [(None, "a b"), (1, "x y z"), (1, "x y z"), (2, "x y z")])).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1)]
