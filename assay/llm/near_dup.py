@@ -1,23 +1,24 @@
 """Near-duplicate documents by one-permutation MinHash.
 
 A document's set is its distinct shingles of n words (all words as one shingle if it has fewer). Documents with equal
-word sequences have equal sets: they collapse to the one with the smallest doc_id before anything is compared, so a
-group of copies costs a row each. Each other set is hashed once; the hash gives a bin and a value, a bin keeps its
-least value, and an empty bin copies a bin that isn't, tried in an order that depends on the bins' numbers alone
-(optimal densification). BANDS bands of ROWS bins are buckets. In each bucket every member is linked to the smallest
-doc_id only: a star, never all pairs. Candidates are confirmed on the full sets.
-
-A star can part two members that are alike from their bucket's centre only. So wherever a bucket's members aren't one
-class after that, all its members of different classes are compared with each other, exactly and on the full sets: a
-bucket is dealt by a hash into blocks of some BLOCK members, and each pair of blocks is a group of its own, in which
-shared shingles are counted for all its pairs at once. No pair makes a row, and only links that join two classes are
-kept. Nothing is capped: two documents that are alike and share a bucket always end in one class.
-
-Chance of missing a pair of similarity s: (1 - s^ROWS)^BANDS, 1.2e-5 at 0.8, 1e-8 at 0.85.
-
-Defined cases: null text or no words: an empty set, linked with nothing, its own class; repeated rows of a doc_id count
-as one document each, and are copies if their words are equal, or share a class by their doc_id; null doc_ids are left
-out; an empty table gives no rows; other columns play no part.
+word sequences have equal sets: they collapse to one node before anything is compared, so a group of copies costs a row
+each. Each node's set is hashed once; the hash gives a bin and a value, a bin keeps its least value, and an empty bin
+copies a bin that isn't, tried in an order that depends on the bins' numbers alone (optimal densification). BANDS bands
+of ROWS bins are buckets.
+
+Candidates are stars, never all pairs. A node's weight is the number of others that it meets, summed over its buckets:
+what lies in the middle of a family meets most. The first star of a bucket has its heaviest member as centre. Where a
+bucket's members aren't one class after that, STARS more centres, drawn by weight and a hash of their own, are compared
+with its members of other classes. So candidates are at most (1 + STARS) for each membership of a bucket, whatever the
+size of a family, and there are two passes, whatever the classes. All candidates are confirmed on the full sets.
+
+What can be missed: a pair of similarity s shares no bucket with probability (1 - s^ROWS)^BANDS, 1.2e-5 at 0.8, 1e-8 at
+0.85; and a document whose only links go to members of its buckets that are centres of none of them. README has the
+measured share of both.
+
+Defined cases: null text or no words: an empty set, linked with nothing, its own class; each row is a document, so rows
+that repeat a doc_id with equal words are copies, and with other words are documents of their own that have the same
+doc_id; null doc_ids are left out; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,17 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, texts, written
+from .common import remove, texts, written
 from .components import components
 
 BANDS, ROWS = 48, 7
 BINS = BANDS * ROWS
-#: Members and shingles of a bucket's block, on average.
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
-#: Cells of the matrix in which a group's shared shingles are counted at a time.
-CELLS = 4_000_000
-#: doc_ids that are broadcast at most (16 bytes each, some 50 in the hash table); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Further centres of a bucket whose members aren't one class.
+STARS = 4
 #: Word hashes remembered by a Python worker.
 REMEMBERED = 200_000
 SIGNED = "doc_id long, same binary, n_shingles long, bands array<long>"
@@ -125,6 +122,10 @@ def bands(s: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _digest(words: list[bytes]) -> bytes | None:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
 def _signer(size: int):
     def sign(batches):
         for b in batches:
@@ -133,40 +134,45 @@ def _signer(size: int):
                 w = words_of(t)
                 h = shingles(w, size)
                 n.append(len(h))
-                same.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None)
-                v = signature(h) if len(h) else None
-                keys.append(None if v is None else bands(v))
+                same.append(_digest(w))
+                keys.append(bands(signature(h)) if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "n_shingles", "bands"])
 
     return sign
 
 
-def _confirmer(size: int, percent: int):
+def _setter(size: int):
+    def sets(batches):
+        for b in batches:
+            found = [words_of(t) for t in b.column(1).to_pylist()]
+            made = [shingles(w, size).tobytes() for w in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(w) for w in found], pa.binary()), pa.array(made, pa.binary())], ["rep", "same", "shingles"])
+
+    return sets
+
+
+def _confirmer(percent: int):
     def confirm(batches):
-        have: dict[str, np.ndarray] = {}
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if x not in have:
-                    if len(have) >= 4:
-                        have.clear()
-                    have[x] = shingles(words_of(x), size)
-                h, g = have[x], shingles(words_of(y), size)
-                both = len(np.intersect1d(h, g, assume_unique=True))
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                h, g = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                small, large = (h, g) if len(h) <= len(g) else (g, h)
+                at = np.searchsorted(large, small)
+                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
                 ok.append(100 * both >= percent * (len(h) + len(g) - both))
             keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keep], ["u", "v", "ok"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
     return confirm
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs (u, v) of which each is compared on the full sets, with ok. Only texts of pairs are shuffled as long as
-    their doc_ids are few enough to broadcast."""
-    ends = written(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ends")
-    sets = docs.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "doc_id", "left_semi")
-    met = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u")
-    return met.select("u", "v", "tu", "tv").mapInArrow(_confirmer(size, percent), "u long, v long, ok boolean")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) that are alike on their full sets. A centre's pairs may be many: their join has no
+    aggregation beside it, so that Spark can split it."""
+    theirs = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    both = theirs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
+    return both.select("u", "v", "su", "sv").mapInArrow(_confirmer(percent), "u long, v long")
 
 
 def _able(n: str, m: str, percent: int) -> Column:
@@ -174,120 +180,46 @@ def _able(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _shared(signed: DataFrame) -> DataFrame:
-    """(band, hash, doc_id, n, u, nu): the buckets of two documents and more, with each bucket's centre. Centres are the
-    first by a hash of the doc_id, so that one document is the centre of most of the buckets that it shares with others."""
-    rows = signed.filter(F.col("bands").isNotNull()).select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "hash"))
-    centre = rows.groupBy("band", "hash").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "n")).alias("c"), F.count("*").alias("m")).filter(F.col("m") > 1)
-    return rows.join(centre.select("band", "hash", F.col("c.doc_id").alias("u"), F.col("c.n").alias("nu")), ["band", "hash"])
-
-
-def _setter(size: int):
-    def sets(batches):
-        for b in batches:
-            made = [shingles(words_of(t), size).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "shingles"])
-
-    return sets
-
-
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many hashes each set on the left shares with each on the right; a set has each hash once."""
-    every = [*left, *right]
-    row = np.repeat(np.arange(len(every)), [len(h) for h in every])
-    _, col, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-    several = n > 1
-    keep = several[col]
-    row, col = row[keep], (np.cumsum(several) - 1)[col[keep]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    out = np.zeros((len(left), len(right)), np.int64)
-    step, width = max(1, CELLS // len(every)), int(several.sum())
-    for lo in range(0, width, step):
-        at = slice(*np.searchsorted(col, [lo, lo + step]))
-        cells = np.zeros((len(every), min(step, width - lo)), np.float32)
-        cells[row[at], col[at] - lo] = 1
-        out += (cells[: len(left)] @ cells[len(left) :].T).astype(np.int64)
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(hash, node, n, weight): the members of buckets of two and more. A band's hash holds its number. What is counted
+    or chosen of a bucket is written before it is joined, here and below, so that Spark can split a large bucket."""
+    rows = nodes.select(F.explode("bands").alias("hash"), "node")
+    shared = written(rows.groupBy("hash").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
+    members = written(rows.join(shared, "hash"), "members")
+    weight = members.groupBy("node").agg(F.sum(F.col("m") - 1).alias("weight"))
+    out = written(members.join(weight.join(nodes.select("node", F.col("n_shingles").alias("n")), "node"), "node").select("hash", "node", "n", "weight"), "buckets")
+    remove(members, shared)
     return out
 
 
-def joining(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """(doc_id, root, set) of two blocks, or twice the same: alike pairs (u, v), enough to join the classes that any of
-    these pairs join."""
-    n, m = np.array([len(h) for _, _, h in left]), np.array([len(h) for _, _, h in right])
-    able = np.minimum.outer(n, m) * 100 >= np.maximum.outer(n, m) * percent
-    able &= np.not_equal.outer(np.array([r for _, r, _ in left]), np.array([r for _, r, _ in right]))
-    if not able.any():
-        return []
-    x, y = np.nonzero(able.any(axis=1))[0], np.nonzero(able.any(axis=0))[0]
-    both = shared_counts([left[k][2] for k in x], [right[k][2] for k in y])
-    ok = able[np.ix_(x, y)] & (100 * both >= percent * (n[x][:, None] + m[y] - both))
-    root: dict[int, int] = {}
-
-    def find(r: int) -> int:
-        while root.setdefault(r, r) != r:
-            root[r] = root[root[r]]
-            r = root[r]
-        return r
-
-    out = []
-    for i, j in zip(*(k.tolist() for k in np.nonzero(ok)), strict=True):
-        (u, ru, _), (v, rv, _) = left[x[i]], right[y[j]]
-        a, b = find(ru), find(rv)
-        if a != b:
-            root[a] = b
-            out.append((u, v))
-    return out
-
-
-def _joiner(percent: int):
-    """Rows (band, hash, i, j, block, doc_id, root, shingles) sorted by the first four, a group each."""
-
-    def closed(key, blocks):
-        return joining(list(blocks[key[2]].values()), list(blocks[key[3]].values()), percent)
-
-    def join(batches):
-        key, blocks = None, {}
-        for b in batches:
-            out = []
-            for *now, block, d, r, h in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-                if now != key:
-                    if key is not None:
-                        out += closed(key, blocks)
-                    key, blocks = now, {now[2]: {}, now[3]: {}}
-                blocks[block][d, h] = (d, r, np.frombuffer(h, np.uint64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
-        if key is not None and (out := closed(key, blocks)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
-
-    return join
-
-
-def _across(members: DataFrame, root: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (u, v) between members of a bucket that are of different classes."""
-    spark = members.sparkSession
-    of = root.select(F.col("node").alias("doc_id"), "root")
-    rows = members.join(of, "doc_id", "left").select("band", "hash", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    several = rows.groupBy("band", "hash").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("m"), F.sum("n").alias("s")).filter("a < z")
-    k = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int")
-    left = written(rows.join(several.select("band", "hash", k.alias("k")), ["band", "hash"]).distinct(), "classes")
-    ends = written(left.select("doc_id").distinct(), "ends")
-    few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
-    sets = docs.join(few, "doc_id", "left_semi").mapInArrow(_setter(size), "doc_id long, shingles binary")
-    block = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "band"), "k").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = block.select("band", "hash", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "root").join(sets, "doc_id")
-    key = ["band", "hash", "i", "j"]
-    dealt = dealt.select(*key, "block", "doc_id", "root", "shingles").repartition(parts(spark), *key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(_joiner(percent), "u long, v long")
-
-
-def links(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links (u, v) between the documents that stand for their copies, enough to join each class."""
-    members = written(_shared(signed), "buckets")
-    pairs = written(members.filter((F.col("u") != F.col("doc_id")) & _able("n", "nu", percent)).select("u", F.col("doc_id").alias("v")).distinct(), "pairs")
-    sure = written(_confirmed(pairs, docs, size, percent).filter("ok").select("u", "v"), "confirmed")
-    more = written(_across(members, components(sure), docs, size, percent), "links")
+def _first_star(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of each bucket's heaviest member and the others."""
+    centre = buckets.groupBy("hash").agg(F.max(F.struct("weight", F.xxhash64("node").alias("h"), F.col("node").alias("u"), F.col("n").alias("nu"))).alias("c"))
+    met = buckets.join(written(centre.select("hash", "c.u", "c.nu"), "centres"), "hash").filter((F.col("u") != F.col("node")) & _able("n", "nu", percent))
+    return met.select("u", F.col("node").alias("v")).distinct()
+
+
+def _more_stars(buckets: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of further centres and members of other classes, where a bucket has several classes."""
+    rows = written(buckets.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
+    drawn = lambda j: (F.xxhash64("node", "hash", F.lit(j)).cast("double") / F.lit(2.0**63) + 1) * F.col("weight")
+    centre = lambda j: F.max(F.struct(drawn(j).alias("key"), F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu")))
+    several = rows.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.array(*(centre(j) for j in range(STARS))).alias("c")).filter("a < z")
+    met = rows.join(written(several.select("hash", "c"), "centres"), "hash").select("node", "root", "n", F.explode(F.array_distinct(F.transform("c", lambda x: F.struct(x["u"].alias("u"), x["ru"].alias("ru"), x["nu"].alias("nu"))))).alias("c"))
+    across = met.select("node", "root", "n", "c.*").filter((F.col("root") != F.col("ru")) & _able("n", "nu", percent))
+    return across.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+
+
+def links(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """nodes: (node, rep, same, n_shingles, bands). Confirmed links (u, v) between nodes, enough to join each class."""
+    buckets = _buckets(nodes)
+    ends = nodes.select("node", "rep", "same").join(buckets.select("node").distinct(), "node", "left_semi")
+    # texts of documents that are in a shared bucket; of rows that repeat one with equal words, one
+    some = docs.join(ends.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_setter(size), "rep long, same binary, shingles binary")
+    sets = written(some.join(ends, ["rep", "same"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    sure = written(_confirmed(written(_first_star(buckets, percent), "pairs"), sets, percent), "confirmed")
+    more = written(_confirmed(written(_more_stars(buckets, components(sure), percent), "pairs"), sets, percent), "links")
+    remove(sets, buckets)
     return sure.unionByName(more)
 
 
@@ -295,11 +227,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (whether that is its own)."""
     rows = texts(docs).filter(F.col("doc_id").isNotNull())
     signed = written(rows.mapInArrow(_signer(size), SIGNED), "signed")
-    # one document stands for its copies
-    first = written(signed.filter(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("rep")), "first")
-    reps = first.select(F.col("rep").alias("doc_id"), "same")
-    alone = signed.join(reps, ["doc_id", "same"], "left_semi")
-    found = links(alone, rows, size, percent)
-    root = written(components(found), "roots").select(F.col("node").alias("rep"), "root")
-    out = signed.join(first, "same", "left").join(root, "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # one node stands for its copies
+    one = signed.filter(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    nodes = written(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    root = written(components(links(nodes, rows, size, percent)), "roots")
+    # a class is named by the least doc_id of its nodes
+    named = written(root.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component")), "named")
+    final = written(nodes.join(root.join(named, "root"), "node", "left").select("same", F.coalesce("component", "rep").alias("component")), "classes")
+    out = signed.select("doc_id", "same", "n_shingles").join(final, "same", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -398,19 +398,33 @@ def test_near_duplicates_that_hang_on_few_links(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(every, 4, 80)
 
 
-@pytest.mark.parametrize("cells", [1, 100, near_dup.CELLS])
-def test_shared_counts(cells, monkeypatch):
-    monkeypatch.setattr(near_dup, "CELLS", cells)
-    pick = random.Random(3)
-    sets = [np.array(sorted(pick.sample(range(60), pick.randrange(1, 40))), np.uint64) for _ in range(12)]
-    got = near_dup.shared_counts(sets[:5], sets[3:])
-    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[3:]] for a in sets[:5]]
+def test_candidates_are_linear(spark):
+    """One family of 400 documents, many of which aren't alike: candidates stay within a constant of memberships."""
+    pick, every = random.Random(2), []
+    for k in range(400):
+        c = [f"w{j}" for j in range(120)]
+        for _ in range(pick.choice([1, 2, 3])):
+            c[pick.randrange(120)] = f"x{k}y{pick.randrange(9)}"
+        every.append((k, " ".join(c)))
+    signed = frame(spark, every).select("doc_id", "text").mapInArrow(near_dup._signer(4), near_dup.SIGNED)
+    nodes = signed.selectExpr("doc_id node", "doc_id rep", "same", "n_shingles", "bands").cache()
+    buckets = near_dup._buckets(nodes).cache()
+    largest = buckets.groupBy("hash").count().agg({"count": "max"}).first()[0]
+    first = near_dup._first_star(buckets, 80)
+    more = near_dup._more_stars(buckets, spark.createDataFrame([], "node long, root long"), 80)
+    members = buckets.count()
+    assert largest > 50 and first.count() < members and more.count() <= near_dup.STARS * members
+    assert near_dup.near_duplicates(frame(spark, every), 4, 80).filter("kept").count() == len({r for _, r in classes(every, 4, 80).values()})
 
 
 def test_near_duplicates_edges(spark):
     got = near_dup.near_duplicates(frame(spark, [(None, "a b"), (1, "x y z"), (1, "x y z"), (2, "x y z")])).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1)]
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
+    # rows of one doc_id with other words are documents of their own: 7 and 8 are alike, the other 7 is like 3
+    many = [(7, "p " * 9 + "q"), (7, " ".join(map(str, range(50)))), (8, " ".join(map(str, range(50)))), (3, "P " * 9 + "q"), (7, "z")]
+    got = near_dup.near_duplicates(frame(spark, many), 4, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 2, 3), (7, 1, 7), (7, 2, 3), (7, 47, 7), (8, 47, 7)]
 
 
 def test_components(spark):
