@@ -98,13 +98,19 @@ TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floo
 
 
 def _licenses_sql() -> str:
-    known = "MAP {" + ", ".join(f"{_quoted(text)}: {_quoted(k)}" for k, text in licenses.SENTENCES.items()) + "}"
-    # lookbehind is not in RE2: sentence ends are marked first
-    cut = r"string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), '\n+|' || chr(1))"
-    ids = f"list_filter(list_transform({cut}, lambda s: ({known})[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
-    found = ", ".join(f"CASE WHEN contains(path, {_quoted(',' + ','.join(seq) + ',')}) THEN {_quoted(name)} END" for name, seq in licenses.RULES)
-    return f"""SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{found}], lambda x: x IS NOT NULL))), ',') AS licenses
-    FROM (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS path FROM (SELECT doc_id, {ids} AS ids FROM documents))"""
+    known = "MAP {" + ", ".join(f"{_quoted(text)}: {_quoted(k)}" for text, k in licenses.known(licenses.SENTENCES, licenses.SPDX).items()) + "}"
+    lowered = lambda s: f"translate({s}, '{licenses.UPPER}', '{licenses.LOWER}')"
+    lines = "regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')"
+    lines = f"regexp_replace(regexp_replace({lines}, {_quoted('(?m)' + licenses.COMMENT)}, '', 'g'), {_quoted('(?m)' + licenses.MARK)}, chr(10) || chr(10), 'g')"
+    cut = f"string_split_regex(regexp_replace({lines}, {_quoted(licenses.STOP)}, '\\1' || chr(12), 'g'), {_quoted(licenses.CUT)})"
+    look = lambda s: f"(SELECT m FROM k)[trim(regexp_replace({lowered(s)}, '[^a-z0-9]+', ' ', 'g'))]"
+    by_line = f"list_filter(list_transform(string_split(s, chr(10)), lambda l: {look('l')}), lambda x: x IS NOT NULL)"
+    ids = f"flatten(list_transform({cut}, lambda s: CASE WHEN {look('s')} IS NOT NULL THEN [{look('s')}] WHEN contains(s, chr(10)) THEN {by_line} ELSE [] END))".replace("(SELECT m FROM k)", "m")
+    rules = [*licenses.RULES, *((x, (f"spdx-{x.lower()}",)) for x in licenses.SPDX)]
+    found = ", ".join(f"CASE WHEN contains(path, {_quoted(',' + ','.join(seq) + ',')}) THEN {_quoted(name)} END" for name, seq in rules)
+    return f"""WITH k AS (SELECT {known} AS m)
+    SELECT doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{found}], lambda x: x IS NOT NULL))), ',') AS licenses
+    FROM (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS path FROM (SELECT doc_id, {ids} AS ids FROM documents, k))"""
 
 
 DECONTAMINATE_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
