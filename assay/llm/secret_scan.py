@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import scratch, written
 
-#: New blobs whose addresses are broadcast at most, some 350 bytes each; for more, texts are shuffled by address.
-BROADCAST_BLOBS = 300_000
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -102,8 +100,9 @@ class Ledger:
 
     def unseen(self, versions: DataFrame) -> DataFrame:
         """blob, text, due: the distinct blobs of versions with the rule versions that the ledger lacks for them, each
-        from its first path (repeated where rows are). Only addresses are shuffled as long as the new blobs are few
-        enough to broadcast theirs."""
+        from its first path (repeated where rows are). Which path is a blob's first is found on addresses alone, with
+        partial sums, so a blob in a third of all versions is one row by then. Texts meet it by (address, path), so that
+        its copies are spread; Spark broadcasts the addresses only while their measured size is under its own bound."""
         every = F.array(*map(F.lit, self.names))
         rows = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
         first = rows.groupBy("blob").agg(F.min("path").alias("first"))
@@ -115,8 +114,7 @@ class Ledger:
             due = F.when(F.col("had").isNull(), every).otherwise(F.array_except(every, "had"))
             first = first.join(had, "blob", "left").withColumn("due", due).filter(F.size("due") > 0).drop("had")
         first = written(first.withColumnRenamed("blob", "own"), "blobs")
-        few = F.broadcast(first) if first.count() <= BROADCAST_BLOBS else first
-        return rows.join(few, (F.col("blob") == F.col("own")) & F.col("path").eqNullSafe(F.col("first"))).select("blob", "text", "due")
+        return rows.join(first, (F.col("blob") == F.col("own")) & F.col("path").eqNullSafe(F.col("first"))).select("blob", "text", "due")
 
     def findings(self, versions: DataFrame) -> DataFrame:
         """versions: (path, text), any number of versions of any paths. blob, spans of all of the ledger's blobs in which
@@ -131,7 +129,8 @@ class Ledger:
         rows.select("blob", F.col("due").alias("rules"), hits.alias("found")).write.mode("append").parquet(self.path)
         kept = self.spark.read.schema(KEPT).parquet(self.path).filter(F.size("found") > 0)
         mine = kept.select("blob", F.explode("found").alias("x")).filter(F.col("x.rule").isin(self.names)).distinct()
-        return mine.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("x.spans"))).alias("spans"))
+        # written before it is joined to paths, so that Spark can split a blob that very many paths have
+        return written(mine.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("x.spans"))).alias("spans")), "findings")
 
     def scan(self, versions: DataFrame) -> DataFrame:
         """versions: (path, text). Each version with its blob and all spans of this ledger's rules."""
