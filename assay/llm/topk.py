@@ -8,7 +8,9 @@ scores lie at or above the range's start or the range is one score wide. The las
 on, at most k of a block and query (highest first, smaller vec_id first), which loses none of the k; these few are
 ranked.
 
-Scores are exact: products run in float64 while every partial sum is below 2^53, else in Python integers.
+Scores are exact: products run in float64 where every partial sum is below 2^53, else in Python integers; only rows and
+queries with large components meet the latter. Components and scores beyond LIMIT in either direction count as LIMIT, so
+that a result is a long.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do null vec_ids;
 vectors of another length than the query's are no candidates of it; rows with the query's vec_id are its own; a
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship
+from .common import scratch, ship, written
 
 CHUNK = 2048
 BINS = 256
+#: The largest score; the difference of any two fits 64 bits.
+LIMIT = (1 << 62) - 1
 SLACK = 64
 #: Scores held at a time by one task.
 HELD = 2_000_000
@@ -41,18 +45,27 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     x = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & (F.size("x") > 0))
     good = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return rows.filter(good).select("vec_id", F.transform("x", lambda c: F.floor(c * 1024)).alias("v"))
+    return rows.filter(good).select("vec_id", F.transform("x", lambda c: F.greatest(F.least(F.floor(c * 1024), F.lit(LIMIT)), F.lit(-LIMIT))).alias("v"))
+
+
+def _large(v: np.ndarray) -> np.ndarray:
+    """Of rows of integers: whether sums of n products with another row that isn't large may reach 2^53."""
+    return np.abs(v).max(axis=1).astype(np.float64) ** 2 * v.shape[1] >= 2**53
 
 
 class Queries:
-    """A chunk of queries, by length of vector."""
+    """A chunk of queries, by length of vector and by whether they are large."""
 
     def __init__(self, rows: list[tuple[int, list[int]]]):
         self.ids = np.array([i for i, _ in rows], np.int64)
-        self.by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by: list[tuple[int, bool, np.ndarray, np.ndarray]] = []
         for n in {len(v) for _, v in rows}:
             at = np.array([k for k, (_, v) in enumerate(rows) if len(v) == n])
-            self.by[n] = at, np.array([rows[k][1] for k in at], np.float64)
+            m = np.array([rows[k][1] for k in at], np.int64)
+            big = _large(m)
+            for large in (False, True):
+                if (big == large).any():
+                    self.by.append((n, large, at[big == large], m[big == large]))
 
 
 def _scores(q: Queries, batch: pa.RecordBatch):
@@ -61,20 +74,21 @@ def _scores(q: Queries, batch: pa.RecordBatch):
     v = batch.column(1)
     offsets, flat = v.offsets.to_numpy(), v.values.to_numpy()
     size = np.diff(offsets)
-    for n, (at, m) in q.by.items():
-        rows = np.nonzero(size == n)[0]
-        step = max(1, HELD // max(1, len(at)))
-        for lo in range(0, len(rows), step):
-            some = rows[lo : lo + step]
-            c = flat[offsets[some][:, None] + np.arange(n)]
-            if n * max(1.0, np.abs(m).max()) * max(1, int(np.abs(c).max())) < 2**53:
-                s = (m @ c.T.astype(np.float64)).astype(np.int64)
-            else:
-                s = np.array(m.astype(object).dot(c.T.astype(object)), object)
-                if max(map(abs, s.ravel()), default=0) >= 2**63:
-                    raise ArithmeticError("an inner product is beyond 64 bits")
-                s = s.astype(np.int64)
-            yield at, ids[some], s, ids[some][None, :] != q.ids[at][:, None]
+    for n, large, at, m in q.by:
+        every = np.nonzero(size == n)[0]
+        if not len(every):
+            continue
+        big = _large(flat[offsets[every][:, None] + np.arange(n)])
+        for rows, exact in ((every[~big], large), (every[big], True)):
+            step = max(1, (HELD // 64 if exact else HELD) // max(1, len(at)))
+            for lo in range(0, len(rows), step):
+                some = rows[lo : lo + step]
+                c = flat[offsets[some][:, None] + np.arange(n)]
+                if exact:
+                    s = np.clip(np.array(m.astype(object).dot(c.T.astype(object)), object), -LIMIT, LIMIT).astype(np.int64)
+                else:
+                    s = (m.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
+                yield at, ids[some], s, ids[some][None, :] != q.ids[at][:, None]
 
 
 def _histogram(shared):
@@ -121,14 +135,14 @@ def _chunk(q: Queries, vectors: DataFrame, top: float, k: int) -> DataFrame:
     spark = vectors.sparkSession
     n = len(q.ids)
     norm = np.ones(n)
-    for at, m in q.by.values():
-        norm[at] = np.sqrt((m**2).sum(axis=1))
+    for _, _, at, m in q.by:
+        norm[at] = np.sqrt((m.astype(np.float64) ** 2).sum(axis=1))
     reach = np.ceil(norm * top * (1 + 1e-9) + 1)
-    reach = np.minimum(reach, 2.0**62).astype(np.int64)
+    reach = np.array([min(int(x), LIMIT) for x in reach], np.int64)
     lo, hi = -reach, reach + 1  # the kth score lies in [lo, hi); fewer than k scores lie from hi on
     above, settled = np.zeros(n, np.int64), np.zeros(n, bool)
     while not settled.all():
-        width = np.maximum(1, -(-(hi - lo) // BINS))
+        width = (hi - lo - 1) // BINS + 1
         shared = spark.sparkContext.broadcast((q, lo, width))
         rows = vectors.mapInArrow(_histogram(shared), "block long, counts binary").groupBy("block").applyInArrow(_add, "block long, counts binary").collect()
         shared.unpersist()
@@ -155,19 +169,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, chunk: int = CHUN
     """vectors, queries: as from integers(). Each query's k highest scores over all other vectors."""
     spark = vectors.sparkSession
     ship(spark)
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    vectors = written(vectors, "vectors")  # every round of every chunk reads them
+    asked = written(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "asked")
     n = asked.count()
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     top = math.sqrt(vectors.agg(F.coalesce(F.max(norm2), F.lit(0.0))).first()[0]) if n else 0.0
-    found = None
     chunks = max(1, -(-2 * n // chunk)) if n > chunk else 1
+    path, found = scratch(spark, "found"), None
     for j in range(chunks):
         some = asked if chunks == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == j)
         q = Queries([(r.vec_id, r.v) for r in some.collect()])
         if len(q.ids):
-            part = _chunk(q, vectors, top, k)
-            found = part if found is None else found.unionByName(part)
+            found = _chunk(q, vectors, top, k)
+            if chunks > 1:  # else the plan would grow with the chunks
+                found.write.mode("append").parquet(path)
     if found is None:
         return spark.createDataFrame([], RANKED)
+    if chunks > 1:
+        found = spark.read.schema(found.schema).parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
