@@ -4,11 +4,13 @@ Documents become pieces: only documents longer than a sequence are cut. Full pie
 others are dealt by hash into bounded partitions, each packed by best-fit decreasing. A dual-feasible function f maps
 lengths to shares so that lengths that fit one sequence together have shares of at most 1; the ceiling of the shares'
 sum is then a lower bound on sequences, and the largest bound over a family of such functions certifies a partition
-whose count equals it. The same bound over all lengths certifies the whole. While there is a gap, partitions exchange
-documents: what lies in their loosely filled sequences (short by more than a LOOSE-th) is pooled, dealt anew by another
-hash, and packed again by best-fit decreasing. A certified partition takes part with what it filled loosely, since its
-own bound was rounded up. A round counts only if it uses fewer sequences. Rounds end when the whole is certified, when
-a round saves nothing, or when one partition held all that was pooled.
+whose count equals it. The same bound over all lengths certifies the whole.
+
+Partitions with a gap between count and bound exchange documents: those of their loosely filled sequences (short by more
+than a LOOSE-th) are pooled, dealt anew by another hash, and packed again by best-fit decreasing, which counts only if it
+uses fewer sequences. Where no such exchange saves any more, but the whole isn't certified, what is left are the ends
+that partitions' bounds were rounded up by; then the loose sequences of all partitions are pooled. Exchanges go on until
+the whole is certified or neither kind saves a sequence.
 
 Defined cases: null text is empty and packs as its end id alone; repeated rows are packed each (a repeated doc_id is
 told apart by its text's place only in what it gives, so its pieces may share doc_id and piece); null doc_ids stay; an
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, texts, written
+from .common import remove, scratch, texts, written
 from .pretokens import pretokens
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -33,8 +35,6 @@ PLACED = f"{PIECE}, salt long, sequence_id long, offset long, filled long"
 #: Pieces that one task packs at a time, and how many more there may be by chance of the hash.
 GROUP = 4096
 LOOSE = 64
-#: Rounds of exchange at most.
-ROUNDS = 6
 
 
 def _cutter(tokenizer: str, capacity: int, end_id: int):
@@ -120,7 +120,7 @@ def _packer(capacity: int, round_: int):
         lengths = group.column("length").to_numpy()
         bins, offsets, filled = best_fit(lengths, capacity)
         gap = len(filled) - lower_bound(lengths, capacity)
-        base = (round_ << 58) | (key[0].as_py() << 16)
+        base = (round_ << 48) | (key[0].as_py() << 16)
         out = group.select(["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
         return pa.Table.from_arrays([*out.columns, pa.array(base + bins), pa.array(offsets), pa.array(filled[bins]), pa.array(np.full(len(bins), gap, np.int64))], [*out.column_names, "sequence_id", "offset", "filled", "gap"])
 
@@ -132,35 +132,41 @@ def _dealt(rows: DataFrame, groups: int, capacity: int, round_: int) -> DataFram
     return rows.withColumn("deal", by).groupBy("deal").applyInArrow(_packer(capacity, round_), f"{PLACED}, gap long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def _sequences(rows: DataFrame) -> int:
+    return rows.filter(F.col("offset") == 0).count()
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, group: int = GROUP) -> DataFrame:
     """The pieces with sequence_id and offset. group: pieces that a task packs at a time (65,536 at most)."""
+    spark = docs.sparkSession
     # salt tells repeated rows apart in the hash only, so that a third of all rows with one doc_id is dealt out too
     made = written(pieces(docs, tokenizer, capacity, end_id).withColumn("salt", F.monotonically_increasing_id()), "pieces")
-    cols = [c.split()[0] for c in PIECE.split(",")]
-    full = made.filter(F.col("length") == capacity).select(*cols, F.col("salt").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    done, loose = [full], made.filter(F.col("length") < capacity)
-    sizes = loose.groupBy("length").count().collect()  # no more rows than the capacity
-    n = sum(r["count"] for r in sizes)
-    least = lower_bound(np.array([r.length for r in sizes]), capacity, np.array([r["count"] for r in sizes], np.int64)) if sizes else 0
-    groups, total = max(1, -(-n // group)), 0
-    last = written(_dealt(loose, groups, capacity, 1), "packed")
-    loosely = F.col("filled") < capacity - capacity // LOOSE
-    for round_ in range(2, rounds + 2):
-        count = last.agg(*(F.coalesce(F.sum(F.when(c, 1)), F.lit(0)) for c in (F.col("offset") == 0, loosely & (F.col("offset") == 0), loosely, F.col("gap") > 0))).first()
-        made_, before, n, gaps = count
-        if total + made_ <= least or before < 2 or groups == 1 and (round_ > 2 or not gaps):
-            break
-        again = written(_dealt(last.filter(loosely).select(*cols, "salt"), max(1, -(-n // group)), capacity, round_), "packed")
-        if again.filter(F.col("offset") == 0).count() >= before:
+    cols = [c.split()[0] for c in PIECE.split(", ")]
+    full = made.filter(F.col("length") == capacity).select(*cols, (-F.col("salt") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = made.filter(F.col("length") < capacity)
+    sizes = short.groupBy("length").count().collect()  # no more rows than the capacity
+    if not sizes:
+        return full
+    least = lower_bound(np.array([r.length for r in sizes]), capacity, np.array([r["count"] for r in sizes], np.int64))
+    deal = lambda rows, n, round_: written(_dealt(rows, max(1, -(-n // group)), capacity, round_), "packed")
+    loose = F.col("filled") < capacity - capacity // LOOSE
+    closed, first = scratch(spark, "closed"), deal(short, sum(r["count"] for r in sizes), 1)
+    first.filter(~loose).select(*cols, "sequence_id", "offset").write.parquet(closed)
+    total, open_, round_, every = _sequences(first), first.filter(loose), 1, False
+    while total > least:
+        pool = open_ if every else open_.filter(F.col("gap") > 0)
+        n, before = pool.count(), _sequences(pool)
+        if before > 1:
+            round_ += 1
+            again = deal(pool.select(*cols, "salt"), n, round_)
+            if (saved := before - _sequences(again)) > 0:
+                again.filter(~loose).select(*cols, "sequence_id", "offset").write.mode("append").parquet(closed)
+                left = again.filter(loose) if every else open_.filter(F.col("gap") <= 0).unionByName(again.filter(loose))
+                total, open_, every = total - saved, written(left, "open"), False
+                continue
             remove(again)
+        if every:
             break
-        done.append(last.filter(~loosely).select(*cols, "sequence_id", "offset"))
-        last, total, groups = again, total + made_ - before, max(1, -(-n // group))
-    return _union([*done, last.select(*cols, "sequence_id", "offset")], cols)
-
-
-def _union(frames: list[DataFrame], cols: list[str]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.select(*cols, "sequence_id", "offset")
+        every = True
+    rest = spark.read.schema(full.schema).parquet(closed).unionByName(open_.select(*cols, "sequence_id", "offset"))
+    return full.unionByName(rest)
