@@ -5,8 +5,8 @@ letter bigrams and trigrams with word edges, and lexicon features (the word itse
 lexicons it occurs). Learned transitions tie neighbouring words, so that code-switched text is labelled in runs.
 Forward-backward gives each word a posterior for each language; a text's language has the largest mean posterior.
 
-Training: at most SAMPLE documents of each language, of at most SAMPLE_CHARS characters, the first by a hash of their
-doc_id, from those with a language whose crc32(doc_id as text) mod 5 is not 0. Their words, cut into runs and joined
+Training: of each language at most `sample` distinct texts, the first by a hash of the text, and of each its first
+`chars` characters (fewer with over 20 languages, see WORK), from documents with a language whose crc32(doc_id as text) mod 5 is not 0. Their words, cut into runs and joined
 across languages, make the code-switched chains that the transitions are learned from. Weights are hashed into 2^BITS
 rows, so the model's size depends on the number of languages alone.
 
@@ -21,6 +21,7 @@ and don't train; other columns play no part.
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from typing import NamedTuple
@@ -36,9 +37,14 @@ from .pretokens import slices
 
 SAMPLE = 120
 SAMPLE_CHARS = 20_000
+#: Characters times languages that one text of each language may bring to training: with very many languages, texts
+#: train by shorter starts, so that the driver's memory has a bound.
+WORK = 80_000_000
 BITS = 17
 STEPS = 40
 BLOCK = 256
+#: Letters of a word that its identity goes by, with its length; affixes and n-grams cover the rest of longer words.
+IDENTITY = 24
 #: Characters labelled at a time.
 SLICE = 1_500_000
 #: Distinct words whose scores a Python worker remembers.
@@ -67,7 +73,13 @@ def _mix(h: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def features(words: list[str], lexicon: dict[str, int], langs: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=65_536)
+def _places(bits: int) -> tuple[int, ...]:
+    """The places of the bits that are set, of an integer of any size."""
+    return tuple(j for j in range(bits.bit_length()) if bits >> j & 1)
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(rows of all words' features one after the other, where each word's begin)."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     text = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -98,16 +110,14 @@ def features(words: list[str], lexicon: dict[str, int], langs: int) -> tuple[np.
         add(pre[has], 10 + j, has)
         add(suf[has], 20 + j, has)
     whole = np.zeros(len(words), np.uint64)
-    for j in range(int(n.max()) if len(n) else 0):
+    for j in range(min(IDENTITY, int(n.max()) if len(n) else 0)):
         has = n > j
-        if j >= 24:
-            break  # words of 24 letters on agree in this one feature if their first 24 letters and lengths do
         whole[has] = whole[has] * k + text[begin[has] + 1 + j]
     add(whole + n.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D), 30, every)
-    known = np.fromiter((lexicon.get(w, 0) for w in words), np.int64, len(words))
-    for j in range(langs):
-        has = every[(known >> j) & 1 == 1]
-        add(np.zeros(len(has), np.uint64), 40 + j, has)
+    known = [(i, j) for i, w in enumerate(words) if (bits := lexicon.get(w)) for j in _places(bits)]
+    if known:
+        has, lang = np.array(known, np.int64).T
+        add(lang.astype(np.uint64) + np.uint64(1), 40, has)
     rows, owner = np.concatenate(rows), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     count = np.bincount(owner, minlength=len(words))
@@ -117,7 +127,7 @@ def features(words: list[str], lexicon: dict[str, int], langs: int) -> tuple[np.
 def emissions(words: list[str], m: Model) -> np.ndarray:
     if not words:
         return np.zeros((0, len(m.langs)))
-    rows, begin = features(words, m.lexicon, len(m.langs))
+    rows, begin = features(words, m.lexicon)
     return np.add.reduceat(m.weights[rows], begin, axis=0)
 
 
@@ -194,7 +204,7 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 5) -> Model
     for j, (_, ws) in enumerate(runs):
         starts[at] = j % 8 == 0
         at += len(ws)
-    feats, begin = features(list(kinds), shown, k)
+    feats, begin = features(list(kinds), shown)
     per = np.diff(np.concatenate([begin, [len(feats)]]))
     truth = np.zeros((len(kinds), k))
     np.add.at(truth, (word, label), 1)
@@ -258,7 +268,7 @@ class Labeller:
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
-        for some in slices(texts, SLICE):
+        for some in slices(texts, SLICE * 4 // max(4, len(self.m.langs))):
             found = [words_of(t) for t in some]
             if not self.m.langs or not any(found):
                 out += [("und", 0.0)] * len(some)
@@ -302,12 +312,18 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """sample: distinct texts of a language that train at most; chars: characters of each, from its start."""
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    some = some.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id")
-    chosen = some.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).select("doc_id", "lang").collect()
-    rows = some.filter(F.col("doc_id").isin([r.doc_id for r in chosen])).dropDuplicates(["doc_id", "lang"]).select("text", "lang").collect() if chosen else []
+    some = some.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    one = some.select("lang", F.xxhash64("text").alias("h"), "doc_id").groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    # in two steps, so that a language of a third of all rows isn't gathered in one task
+    for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        one = one.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("r") <= sample).drop("r")
+    chosen = one.select("doc_id", "lang").collect()
+    langs = len({r.lang for r in chosen})
+    chars = max(40, min(chars, WORK // max(1, langs * langs * sample)))
+    rows = some.filter(F.col("doc_id").isin([r.doc_id for r in chosen])).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, chars)).alias("text")).select("text", "lang").collect() if chosen else []
     return fit([(r.text, r.lang) for r in rows])
 
 
