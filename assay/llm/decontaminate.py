@@ -8,8 +8,9 @@ its Burrows-Wheeler transform lies in a wavelet matrix. All windows are searched
 each word and level; occurrences are located by walking to sampled suffix positions. The word spans of all
 occurrences are merged into removal spans.
 
-The benchmark is dealt into blocks of at most BLOCK_BYTES of text by Spark; each block is searched by itself and the
-spans of all blocks are merged, so that what the driver and a worker hold doesn't grow with the benchmark.
+The benchmark is dealt into blocks of at most BLOCK_BYTES of text by Spark; a block's windows are arrays of some 60 bytes
+a word, its vocabulary some 150 bytes a distinct word. Each block is searched by itself and the spans of all blocks are
+merged, so that what the driver and a worker hold doesn't grow with the benchmark.
 
 Defined cases: null text has no words; an item without words occurs nowhere; items with equal text occur alike; null
 item_ids are left out; repeated documents are searched each; empty tables give no rows, or rows without hits; other
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import ship, texts, widened
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Words of documents that one index covers before the runs are filtered (a longer document has one of its own).
 SHARD_WORDS = 1_000_000
 SAMPLED = 8
@@ -148,26 +149,38 @@ class FmIndex:
 
 
 class Windows:
-    """A block of items: its vocabulary, its distinct windows and the items that have each."""
+    """A block of items: its vocabulary, its distinct windows and the items that have each, as arrays."""
 
     def __init__(self, items: list[tuple[str, str]]):
-        self.number: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], dict[str, None]] = {}
-        for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in words_of(text)]
-            for at in range(max(1, len(w) - WINDOW + 1) if w else 0):
-                seen.setdefault(tuple(w[at : at + WINDOW]), {})[item] = None
-        self.items = [list(v) for v in seen.values()]
-        self.length = np.array([len(w) for w in seen], np.int64)
+        self.names = [name for name, _ in items]
+        number: dict[bytes, int] = {}
+        words = [np.fromiter((number.setdefault(x, len(number) + 1) for x in words_of(text)), np.int32) for _, text in items]
+        self.number = number
+        sizes = np.array([len(w) for w in words], np.int64)
+        flat = np.concatenate([np.zeros(WINDOW, np.int32), *words, np.zeros(0, np.int32)])  # zeros pad windows on the left
+        per = np.where(sizes > 0, np.maximum(1, sizes - WINDOW + 1), 0)
+        of = np.repeat(np.arange(len(sizes)), per)
+        first = WINDOW + np.repeat(np.cumsum(sizes) - sizes, per) + np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+        length = np.minimum(sizes[of], WINDOW)
+        rows = np.zeros((len(of), WINDOW), np.int32)
+        for j in range(WINDOW):
+            back = WINDOW - j  # the column holds the word that is so far before the window's end
+            rows[:, j] = np.where(back <= length, flat[first + length - back], 0)
+        key = rows.view(np.dtype((np.void, rows.itemsize * WINDOW))).ravel()
+        order = np.argsort(np.unique(key, return_inverse=True)[1], kind="stable")
+        opens = np.concatenate([np.ones(min(1, len(key)), bool), key[order][1:] != key[order][:-1]])
+        self.rows, self.length = rows[order][opens], length[order][opens]
         self.shortest = int(self.length.min()) if len(self.length) else 0
-        self.rows = np.zeros((len(seen), WINDOW), np.int64)
-        for k, w in enumerate(seen):
-            self.rows[k, WINDOW - len(w) :] = w
+        # items of each window: those of the rows from its first on
+        self.owner, self.begin = of[order].astype(np.int32), np.append(np.nonzero(opens)[0], len(key))
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[k] for k in dict.fromkeys(self.owner[self.begin[window] : self.begin[window + 1]].tolist())]
 
 
 def _search(found: list[list[bytes]], block: Windows) -> list[tuple[list[tuple[int, int]], list[str]]]:
     none: list[tuple[list[tuple[int, int]], list[str]]] = [([], []) for _ in found]
-    if not block.items:
+    if not len(block.rows):
         return none
     get, sizes = block.number.get, [len(f) for f in found]
     ids = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(get, f, repeat(0)), np.int64, len(f)) for f in found if f)])
@@ -187,7 +200,7 @@ def _search(found: list[list[bytes]], block: Windows) -> list[tuple[list[tuple[i
     runs = np.cumsum(n) - n
     source = np.arange(int(n.sum())) + np.repeat(begin - runs, n)
     index = FmIndex(ids[source], runs, len(block.number))
-    lo, hi = index.search(block.rows)
+    lo, hi = index.search(block.rows.astype(np.int64))
     hits = np.nonzero(hi > lo)[0]
     times = (hi - lo)[hits]
     if not len(hits):
@@ -205,7 +218,7 @@ def _search(found: list[list[bytes]], block: Windows) -> list[tuple[list[tuple[i
             have[-1][1] = max(have[-1][1], e)
         else:
             have.append([s, e])
-        items[d].update(dict.fromkeys(block.items[w]))
+        items[d].update(dict.fromkeys(block.items(w)))
     return [([(s, e) for s, e in have], list(i)) for have, i in zip(spans, items, strict=True)]
 
 
