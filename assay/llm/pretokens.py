@@ -1,8 +1,10 @@
 """Exact encoding by pre-tokens, over the tokenizers library.
 
 BPE never merges across a pre-token's edge, so a text's ids are those of its pre-tokens in order. Each distinct
-pre-token is encoded by the library once and remembered. The split done here is proven only for texts whose
-characters are all Latin-1 and that hold no string of an added token; the library encodes any other text whole.
+pre-token is encoded by the library once and remembered. The split done here goes by the Unicode classes that Python
+has; it agrees with the library's on every assigned character (a test goes through them all). The library encodes whole
+what the split isn't proven for: texts with unassigned characters, whose class depends on the version of Unicode, with a
+string of an added token, or whose lower-cased form isn't composed.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import functools
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +22,37 @@ import numpy as np
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 NUMBER = "0-9²³¹¼½¾"
 SPACE = "\\t-\\r \u0085\u00a0"
+# The members of White_Space beyond Latin-1.
+WIDE_SPACE = SPACE + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CLITIC = "'s|'t|'re|'ve|'m|'ll|'d"
-BYTE_SPLIT = f"{CLITIC}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-WORD_SPLIT = f"{CLITIC}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+"
+
+
+def byte_split(letter: str, number: str, space: str) -> str:
+    return f"{CLITIC}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+
+
+def word_split(letter: str, number: str, space: str) -> str:
+    return f"{CLITIC}|[{letter}]+|[{number}]|[^{space}{letter}{number}]+"
+
+
+@functools.lru_cache(maxsize=1)
+def wide_classes() -> tuple[str, str, frozenset[str]]:
+    """The ranges of all letters and of all numbers, and the unassigned characters, by Python's Unicode."""
+    ranges: dict[str, list[list[int]]] = {"L": [], "N": []}
+    unassigned = []
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind == "Cn":
+            unassigned.append(chr(c))
+        elif kind[0] in ranges:
+            have = ranges[kind[0]]
+            if have and have[-1][1] == c - 1:
+                have[-1][1] = c
+            else:
+                have.append([c, c])
+    letters, numbers = ("".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in ranges[k]) for k in "LN")
+    return letters, numbers, frozenset(unassigned)
+
 
 #: Distinct pre-tokens remembered by one Python worker, some 200 bytes each. A full memory starts anew.
 REMEMBERED = 300_000
@@ -46,11 +77,12 @@ class Pretokens:
         norm = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         bpe = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         if bpe and kind == "ByteLevel" and spec["normalizer"] is None and spec["pre_tokenizer"]["use_regex"] and not spec["pre_tokenizer"]["add_prefix_space"]:
-            self.lower, self.find = False, re.compile(BYTE_SPLIT).findall
+            self.lower, self.splitter = False, byte_split
         elif bpe and norm == ["NFC", "Replace", "Lowercase"] and steps == [("Split", CLITIC + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)]:
-            self.lower, self.find = True, re.compile(WORD_SPLIT).findall
+            self.lower, self.splitter = True, word_split
         else:
-            self.lower, self.find = False, None
+            self.lower, self.splitter = False, None
+        self.find = re.compile(self.splitter(LETTER, NUMBER, SPACE)).findall if self.splitter else None
         self.memory: dict[str, bytes] = {}
         self.ends = None  # which ids end a line (of the byte-level kind) or a word
         if self.find:
@@ -60,16 +92,30 @@ class Pretokens:
                 self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
                 self.ends[[k for t, k in spec["model"]["vocab"].items() if t.endswith(suffix)] if self.lower else line] = True
 
+    @functools.cached_property
+    def find_wide(self):
+        letters, numbers, _ = wide_classes()
+        return re.compile(self.splitter(letters, numbers, WIDE_SPACE)).findall
+
     def split(self, text: str) -> list[str] | None:
         """The pre-tokens, or None where only the library may split."""
         if self.find is None or self.added.search(text):
             return None
+        find = self.find
         if not text.isascii():
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
+                find = self.find_wide
+                if not wide_classes()[2].isdisjoint(set(text)):
+                    return None
+                if self.lower:  # the library lowers characters one by one, so a sigma at a word's end is like any other
+                    text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+        if self.lower:
+            text = text.lower()
+            if find is not self.find and not unicodedata.is_normalized("NFC", text) or self.added.search(text):
                 return None
-        return self.find(text.lower() if self.lower else text)
+        return find(text)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -1,7 +1,7 @@
 """Token counts by the whole-token shortcut.
 
 Offline, each vocabulary string is encoded alone; those that give exactly one id need no merges when they are met
-as a pre-token. A text's count is its number of pre-tokens plus what the pre-tokens outside that set have beyond one;
+as a pre-token. Texts of any script are split here (see pretokens). A text's count is its number of pre-tokens plus what the pre-tokens outside that set have beyond one;
 only these are merged, by the library, each distinct one once while it is remembered.
 
 Defined cases: null text is empty and has 0 bytes and 0 tokens; rows are counted one by one, repeated or not; null
