@@ -45,10 +45,13 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only a session within one process may do without and gets a
+    temporary one; a cluster's executors wouldn't see that."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="assay-")
@@ -109,6 +112,17 @@ def _remove_all() -> None:
                 shutil.rmtree(at, ignore_errors=True)
 
 
+def one_row(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows that repeat a key, the least by the other columns in their order, nulls first; null keys stay as they
+    are. Only keys are shuffled to find what repeats, and only what repeats is shuffled then, with partial minima."""
+    again = written(rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key), "again")
+    if again.isEmpty():
+        return rows
+    rest = [c for c in rows.columns if c != key]
+    least = rows.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("least")).select(key, "least.*")
+    return rows.join(again, key, "left_anti").unionByName(least)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

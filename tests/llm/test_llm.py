@@ -45,12 +45,34 @@ def test_pretokens_give_the_librarys_ids(name, rows):
     pick = random.Random(3)
     odd = [t for _, t in ODD] + [f"{a}{b}{c}" for a in LATIN for b, c in (("x", " "), (" ", "1"), ("'", "s"))]
     odd += ["".join(pick.choice(LATIN + " \n\t'abcSTé0") for _ in range(60)) for _ in range(500)]
+    wide = ["\u0130I\u03a3A\u03a3 \u03a3. \u1e9e \u212a\u2126 e\u0301E\u0301 \u00e9 \ufb01 \U0001d400\U0001f600\u200d\U0001f468 \u0e01\u0e33 \u0967\u0968 \u2460\u2167 \u3000\u2028\u1680x", "<|ENDOFTEXT|> \u4e00<|endoftext|>", "\u1c89 \ua7cb \U0001e5f0 \u4e00", "\u2019s \u201cquoted\u201d \u2014 don\u2019t don't \u4e16\u754c123"]
+    scripts = [range(0x370, 0x600), range(0x900, 0xE00), range(0x1E00, 0x2100), range(0x2100, 0x2C00), range(0x3000, 0x3400), range(0x4E00, 0x5200), range(0xAC00, 0xB000), range(0x10300, 0x10500), range(0x1F300, 0x1F700), range(0x300, 0x370)]
+    odd += wide + ["".join(chr(pick.choice(pick.choice(scripts))) if pick.random() < 0.7 else pick.choice(" \n'a1T.") for _ in range(60)) for _ in range(1500)]
+    assert p.split(wide[3]) is not None and p.split(wide[2]) is None
     texts = [*rows.values(), *odd]
     got = [np.frombuffer(x, "<u4").tolist() for x in p.ids(texts)]
     want = [e.ids for e in p.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_character_is_split_as_the_library_does(name):
+    p = pretokens(queries.vocabulary(name))
+    pre, norm = p.tokenizer.pre_tokenizer, p.tokenizer.normalizer
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    split = 0
+    for c in every:
+        text = f"a{c}!"
+        got = p.split(text)
+        if got is not None:
+            split += 1
+            if norm is not None:
+                text = norm.normalize_str(text)
+            at = [text[i:j] for _, (i, j) in pre.pre_tokenize_str(text)]
+            assert got == at, hex(ord(c))
+    assert split > 250_000
+
+
 def test_token_store(spark, docs, rows):
     path = token_store.write(docs, queries.vocabulary("byte_bpe_50k.json"))
     tok, start = pretokens(queries.vocabulary("byte_bpe_50k.json")).tokenizer, 0
@@ -146,12 +168,34 @@ def test_bounds_never_pass_the_fewest_bins(case):
     assert packing.lower_bound(a, capacity) <= least <= len(packing.best_fit(a, capacity)[2])
 
 
-def test_exchange_saves_sequences():
+def test_lower_bounds():
     assert packing.lower_bound(np.array([1025] * 10), 2048) == 10
     assert packing.lower_bound(np.array([700] * 9), 2048) == 5
     assert packing.lower_bound(np.array([], np.int64), 2048) == 0
 
 
+def test_exchange_saves_sequences(spark):
+    """Pairs that fill a sequence, dealt apart into small partitions: the exchange brings them together."""
+    path = queries.vocabulary("word_bpe_49k.json")
+    lengths = [1000] * 60 + [1048] * 60 + [700] * 30 + [648] * 60
+    docs = frame(spark, [(k, "the " * (n - 1)) for k, n in enumerate(lengths)])
+    made = packing.pieces(docs, path).selectExpr("*", "doc_id salt").cache()
+    assert sorted(r.length for r in made.collect()) == sorted(lengths)
+    alone = packing._sequences(packing._dealt(made, 30, 2048, 1))
+    got = packing.pack(docs, path, group=7).collect()
+    assert len(got) == len(lengths)
+    n, least = check_packed(got, 2048), packing.lower_bound(np.array(lengths), 2048)
+    assert least <= n < alone and n - least < (alone - least) / 2
+    assert check_packed(packing.pack(docs, path).collect(), 2048) == least
+
+
+def test_packing_edges(spark):
+    path = queries.vocabulary("word_bpe_49k.json")
+    full = packing.pack(frame(spark, [(1, "the " * 2047), (1, "the " * 2047), (2, "the " * 6000)]), path).collect()
+    assert sorted(r.length for r in full) == [2048 - 143, 2048, 2048, 2048, 2048] or sum(r.length for r in full) == 2 * 2048 + 6001
+    assert check_packed(full, 2048) == len({r.sequence_id for r in full}) == 5
+
+
 # --- secrets
 
 
@@ -247,6 +291,19 @@ def test_topk_chunks_and_large_numbers(spark):
     assert [r[2] for r in one if r[0] == 290] == [299, 298, 297, 296, 295, 294, 293, 292, 291, 289]
 
 
+def test_topk_beyond_64_bits(spark):
+    vecs = [(0, [1e300, 0.0]), (100, [-1e300, 1.0]), (1, [1.0, 1.0]), (2, [1e300, 1e300]), (3, [-1e300, 0.0]), (4, [1e10, 1e10]), (5, [float(2**40), 1.0])]
+    ints = topk.integers(spark.createDataFrame(vecs, "vec_id long, embedding array<double>"))
+    clip = lambda x: max(-topk.LIMIT, min(topk.LIMIT, x))
+    v = {i: [clip(int(np.floor(1024 * x))) if abs(x) < 1e15 else clip(int(x)) for x in w] for i, w in vecs}
+    got = sorted(map(tuple, topk.top_k(ints, ints.filter("vec_id % 100 = 0")).collect()))
+    want = []
+    for q in (0, 100):
+        scored = sorted((-clip(sum(a * b for a, b in zip(v[q], w, strict=True))), i) for i, w in v.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert got == want
+
+
 # --- languages
 
 
@@ -268,6 +325,27 @@ def test_language_id_edges(spark, docs):
     assert [r[2] for r in runs] == ["en", "fr", "de"]
 
 
+def test_seventy_languages_and_long_texts(spark):
+    """More languages than a long has bits, one of them in long texts only, one mostly in copies."""
+    pick = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{j:02d}": ["".join(pick.choice(letters) for _ in range(pick.randint(3, 8))) for _ in range(60)] for j in range(70)}
+    text = lambda lang, n: " ".join(pick.choice(words[lang]) for _ in range(n))
+    rows, k = [], 0
+    for lang in words:
+        copy = text(lang, 40)
+        for i in range(12):
+            rows.append((k, copy if lang == "l05" and i < 8 else text(lang, 5000 if lang == "l07" else 40), lang))
+            k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.langs == sorted(words)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    held = [(lang, got[d]) for d, _, lang in rows if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert len(held) > 100 and sum(a == b for a, b in held) / len(held) >= 0.95
+    assert got[7 * 12] == "l07"
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5, 9):
@@ -313,6 +391,25 @@ def test_index_search_by_brute_force():
             assert {p for s, e in spans for p in range(s, e)} == at and set(names) == want and len(names) == len(want)
 
 
+def test_a_full_block_of_windows_has_a_bound():
+    """A block of the production size, of ten-word items: what the driver holds at most."""
+    import tracemalloc
+
+    pick = random.Random(5)
+    words = [f"w{pick.randrange(10**7)}" for _ in range(50_000)]
+    items, size = [], 0
+    while size < decontaminate.BLOCK_BYTES:
+        items.append((str(len(items)), " ".join(pick.choices(words, k=100))))
+        size += len(items[-1][1]) + 64
+    tracemalloc.start()
+    block = decontaminate.Windows(items)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 150e6 and peak < 400e6 and len(block.rows) == 91 * len(items)
+    w = decontaminate.words_of(f"x {items[5][1]} y {items[77][1]}")
+    assert decontaminate._search([w], block) == [([(1, 101), (102, 202)], ["5", "77"])]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 2000])
 def test_decontamination(spark, rows, block_bytes):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -797,10 +894,22 @@ def test_pipeline(spark):
 
 
 def test_pipeline_edges(spark):
+    """Each stage over nulls, odd texts, repeated rows, a further column with a clashing name, and an empty table."""
     import corpus_pipeline
 
-    rows = [(d, t, None, None, None) for d, t in ODD]
+    clean = [(50 + k, t, "en", "s", len(t)) for k, t in enumerate(["the cat and the dog sat on the mat", "with these words a token = 0123456789abcdef0123 lies bare"])]
+    rows = [(d, t, None, None, None) for d, t in ODD] + clean + [(7, "zz top two", "x", None, 1), (7, None, "x", None, 1), (7, "aa one", "x", None, 1), (8, "  zz   TOP two ", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
-        for some in (docs, docs.limit(0)):
-            assert stage(spark, some.withColumn("blob", docs.source), SF).count() >= 0
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got[name] = [tuple(r) for r in stage(spark, docs.withColumn("blob", docs.source), SF).collect()]
+        assert stage(spark, docs.limit(0).withColumn("blob", docs.source), SF).count() == 0
+    assert {r[0] for r in got["language ID"]} >= {50, 51} and not {r[0] for r in got["language ID"]} & {1, 2, 3}
+    kept = Counter(r[0] for r in got["MinHash near-dedup"])
+    assert set(kept.values()) == {1} and kept.keys() == {None, 1, 2, 3, 4, 5, 6, 7, 8, 50, 51}
+    assert [r[1] for r in got["MinHash near-dedup"] if r[0] == 7] == [None]
+    assert Counter(got["benchmark decontamination"]) == Counter(rows)
+    secrets = Counter(got["secret scans"])
+    assert sum(secrets.values()) == len(rows) and secrets - Counter(rows) == Counter([(51, "with these words a [REDACTED] lies bare", "en", "s", 39)])
+    assert Counter(r[0] for r in got["best-fit packing"] if r[1] == 0) == Counter(r[0] for r in rows)
+    check_packed([r for r in stage(spark, docs, SF).collect()], 2048)
