@@ -9,7 +9,7 @@ from pathlib import Path
 
 # The vocabularies.
 DOMAINS = ("SALES", "HCP", "HCO", "PRODUCT", "TERRITORY_ALIGNMENT")
-DIMENSIONS = ("completeness", "validity", "uniqueness", "consistency", "referential_integrity", "timeliness", "accuracy")
+DIMENSIONS = ("completeness", "validity", "uniqueness", "consistency", "referential_integrity", "timeliness", "conformity")
 SEVERITIES = ("HIGH", "MEDIUM", "LOW")
 SUBJECT_TYPES = ("record", "batch", "source_period")
 
@@ -35,6 +35,8 @@ class RuleDefinition:
         for name, allowed in (("domain", DOMAINS), ("dimension", DIMENSIONS), ("severity", SEVERITIES), ("subject_type", SUBJECT_TYPES)):
             if getattr(self, name) not in allowed:
                 raise RuleDefinitionError(f"{name}: {getattr(self, name)!r} is not one of {', '.join(allowed)}")
+        if not self.predicate_sql.strip():
+            raise RuleDefinitionError("predicate_sql: empty")
         if not 0 < len(self.owning_function) <= 120:
             raise RuleDefinitionError("owning_function: 1 to 120 characters")
         for p in self.parameters:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from .analysed import MARKERS, SIMILARITY, UNIQUE, Found, read
 from .definition import RuleDefinitionError
 
 # What a predicate may read, which of these are versioned or delivered, and what the engine binds.
@@ -17,6 +18,32 @@ VOLATILE = "now current_timestamp current_date current_time localtimestamp curre
 SIMILAR = "levenshtein soundex similarity metaphone difference jaro_winkler".split()
 
 
+#: The rules that the analyser's own refusals belong to.
+ERRORS = {"TABLE_OR_VIEW_NOT_FOUND": "5", "UNRESOLVED_ROUTINE": "3", "UNRESOLVABLE_TABLE_VALUED_FUNCTION": "4", "UNBOUND_SQL_PARAMETER": "8", "PARSE_SYNTAX_ERROR": "1"}
+TABLE_FUNCTIONS = {"Generate", "Range", "UnresolvedTableValuedFunction"}
+
+
+def _by_plan(found: Found, refuse) -> None:
+    """The rules that hold of the analysed plan: what it reads, calls and orders by, and what binds each relation."""
+    if tables := set(found.others) & TABLE_FUNCTIONS:
+        refuse("4", f"no functions in FROM: {', '.join(sorted(tables))}")
+    if found.calls & SIMILARITY:
+        refuse("FR-016d", "exact comparison only")
+    if found.calls:
+        refuse("3", f"not known to be immutable: {', '.join(sorted(found.calls))}")
+    if bad := [*found.others, *(v for _, _, v in found.relations if v not in ALLOWED)]:
+        refuse("5", f"may not read {', '.join(sorted(set(bad)))}")
+    if found.unordered:
+        refuse("6", f"{found.unordered[0]}: an order that ends in one of {', '.join(UNIQUE)}")
+    for block, alias, view in found.relations:
+        bound = {(column, kind, name) for b, a, column, kind, name in found.bound if (b, a) == (block, alias)}
+        seen = ("batch_id", "LessThanOrEqual", "reference_watermark") in bound
+        if view in MASTER and not (seen and ("valid_from", "LessThanOrEqual", "as_of_date") in bound):
+            refuse("7", f"{view} {alias} is bound by neither or one of valid_from and batch_id")
+        if view in DELIVERED and not seen and ("batch_id", "EqualTo", "batch_id") not in bound:
+            refuse("7", f"{view} {alias} is not bound by the watermark or the batch")
+
+
 def stripped(sql: str) -> str:
     """Without comments, and with each literal as 'LIT'."""
     sql = re.sub(r"/\*.*?\*/|--[^\n]*", " ", sql, flags=re.S)
@@ -28,8 +55,8 @@ def names(sql: str) -> set[str]:
 
 
 def validate(sql: str, parameters: dict, spark=None) -> None:
-    """RuleDefinitionError, beginning with the label of the first broken rule. With a session whose views are the
-    readable tables, the columns are checked on the analysed plan too."""
+    """RuleDefinitionError, beginning with the label of the first broken rule. Without a session the text alone is read,
+    which catches common mistakes; with one whose views are the readable tables, the analysed plan decides."""
 
     def refuse(label: str, why: str):
         raise RuleDefinitionError(f"rule {label}: {why}")
@@ -49,9 +76,9 @@ def validate(sql: str, parameters: dict, spark=None) -> None:
     for name, _ in reads:
         if "." in name or name not in ALLOWED and name not in own:
             refuse("5", f"may not read {name}")
-    if re.search(r"\blimit\b|\b(row_number|rank|dense_rank|first_value|last_value|nth_value|lead|lag|ntile)\s*\(", text) and not re.search(r"order\s+by[^()]*\b\w*(_id|_key|valid_from)\s*(asc|desc)?\s*(\)|limit|$)", text):
+    if spark is None and re.search(r"\blimit\b|\b(row_number|rank|dense_rank|first_value|last_value|nth_value|lead|lag|ntile)\s*\(", text) and not re.search(rf"order\s+by[^()]*\b({'|'.join(UNIQUE)})\s*(asc|desc)?\s*(\)|limit|$)", text):
         refuse("6", "an order that ends in a unique column")
-    for name, alias in reads:
+    for name, alias in reads if spark is None else ():
         at = rf"\b{alias or name}\."
         seen = re.search(at + r"batch_id\s*<=\s*:reference_watermark\b", text)
         if name in MASTER and not (seen and re.search(at + r"valid_from\s*<=\s*:as_of_date\b", text)):
@@ -66,8 +93,11 @@ def validate(sql: str, parameters: dict, spark=None) -> None:
         refuse("FR-016d", "exact comparison only")
     if spark is not None:
         try:
-            schema = spark.sql(sql, args={n: None for n in names(sql)}).schema
+            df = spark.sql(sql, args={n: MARKERS.get(n, parameters.get(n)) for n in names(sql)})
+            schema, found = df.schema, read(df)
         except Exception as e:
-            refuse("plan", str(e).split("\n")[0])
+            first = str(e).split("\n")[0]
+            refuse(next((label for error, label in ERRORS.items() if error in first), "plan"), first)
+        _by_plan(found, refuse)
         if sorted(schema.names) != sorted(COLUMNS) or any(f.dataType.typeName() not in ("string", "void") for f in schema):
             refuse("2", f"the columns are {', '.join(COLUMNS)}, all text")

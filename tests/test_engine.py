@@ -64,6 +64,44 @@ def test_gate(label, sql):
         validate(sql, {})
 
 
+PARITY = [
+    ("3", GOOD + " and h.valid_from < now()"), ("3", GOOD.replace(":as_of_date", "current_date")), ("3", GOOD + " and rand() < 0.5"), ("FR-016d", GOOD + " and levenshtein(h.last_name, 'Smith') < 3"),
+    ("FR-016d", GOOD + " and similarity(h.last_name, 'Smith') > 0.8"), ("2", GOOD.replace("as offending_value", "as bad_value")), ("5", GOOD.replace("from hcp h", "from hcp h, pg_catalog.pg_class pc")),
+    ("7", GOOD.replace("and h.batch_id <= :reference_watermark", "")), ("8", GOOD + " and h.npi rlike :some_pattern"), ("1", GOOD + "; drop table hcp"), ("4", GOOD.replace("from hcp h", "from range(1, 10) g, hcp h")),
+    ("8b", GOOD.replace(":as_of_date", ":as_of_date::date")),
+    # by the plan alone: the text of these looks well
+    ("5", GOOD.replace("from hcp h", "from hcp h, orders o")), ("7", GOOD.replace("from hcp h", "from hcp h, product p")), ("7", GOOD + " or true"), ("6", GOOD + " order by h.source_system_id limit 3"),
+    ("3", GOOD + " and uniform(1, 10) > 3"), ("3", GOOD + " and h.valid_from < curdate()"), ("7", GOOD + " and exists (select 1 from hcp o where o.npi = h.npi and h.valid_from <= :as_of_date and h.batch_id <= :reference_watermark)"),
+    ("7", GOOD.replace("h.valid_from <= :as_of_date", "h.valid_from <= date'1801-02-03' + 1")), ("7", GOOD.replace("from hcp h", "from hcp h left join product p on h.valid_from <= :as_of_date and h.batch_id <= :reference_watermark").replace("and h.valid_from", "and p.valid_from").replace("and h.batch_id", "and p.batch_id", 1)),
+    ("4", GOOD.replace("from hcp h", "from hcp h lateral view explode(array(1, 2)) e as x")), ("6", GOOD.replace("'x' as offending_value", "first_value(h.npi) over (partition by h.source_key order by h.npi) as offending_value")),
+]
+ADMITTED = [
+    GOOD, GOOD + " order by h.npi, h.hcp_id limit 3", GOOD.replace("h.valid_from <= :as_of_date", ":as_of_date >= h.valid_from"), GOOD.replace("'x' as offending_value", "lag(h.npi) over (partition by h.source_key order by h.valid_from) as offending_value"),
+    "with v as (select * from hcp x where x.valid_from <= :as_of_date and x.batch_id <= :reference_watermark) select v.source_key as subject_key, v.npi as offending_value, cast(null as string) as observed_value, cast(null as string) as expected_value from v where v.batch_id = :batch_id",
+]
+
+
+@pytest.mark.parametrize("k", range(len(PARITY)))
+def test_gate_on_the_analysed_plan(spark, k):
+    register(spark, SF)
+    label, sql = PARITY[k]
+    with pytest.raises(RuleDefinitionError, match=f"^rule {label}:"):
+        validate(sql, {}, spark)
+
+
+def test_gate_admits(spark):
+    register(spark, SF)
+    for sql in ADMITTED:
+        validate(sql, {}, spark)
+    for r in shipped():
+        validate(r.predicate_sql, r.parameters, spark)
+    d = RuleDefinition("CONFORMITY-RULE", "HCP", "conformity", "LOW", "Somebody", "record", GOOD, {})
+    assert d.dimension == "conformity"
+    for bad in ({"dimension": "accuracy"}, {"predicate_sql": " "}, {"owning_function": ""}, {"rule_key": "lower"}, {"parameters": {"1x": 1}}):
+        with pytest.raises(RuleDefinitionError):
+            RuleDefinition(**{**d.__dict__, **bad})
+
+
 def test_check_digit():
     assert npi_check_digit("123456789") == 3
 
