@@ -137,7 +137,7 @@ class Console:
         codes = [r.code for r in self.store.read("source_system").orderBy("code").collect()]
         keys = sorted({f"b:{b.batch_id}" for b in batches} | {f"sp:{c}:{period}" for c in codes})
         runs = self._runs(keys)
-        found = self.engine.findings().filter(F.col("scope_key").isin(keys))
+        found = self.engine.findings(ordered=False).filter(F.col("scope_key").isin(keys)).persist()
         rank = F.when(F.col("severity") == "HIGH", 1).when(F.col("severity") == "MEDIUM", 2).otherwise(3)
         columns = ("finding_id", "subject_key", "subject_type", "offending_value", "observed_value", "expected_value", "severity", "detected_at", "rule_run_id", "rule_key", "domain", "dimension", "owning_function", "version_no")
         shown = found.orderBy(rank, F.desc("detected_at"), "finding_id").limit(SHOWN).select(*columns).collect()
@@ -145,7 +145,8 @@ class Console:
         def counted(column: str) -> list[dict]:
             return [{"label": r[column], "count": r.n} for r in found.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).collect()]
 
-        severities = counted("severity")
+        severities, dimensions = counted("severity"), counted("dimension")
+        found.unpersist()
         rules = sorted(self.engine.active_versions(("record", "batch", "source_period")), key=lambda r: (r.domain, r.rule_key))
         states = {r.status for r in runs}
         status = "NOT RUN" if not runs else "COMPLETED_WITH_ERRORS" if "COMPLETED_WITH_ERRORS" in states else "COMPLETED" if states == {"COMPLETED"} else "INCOMPLETE"
@@ -154,7 +155,7 @@ class Console:
             "records_evaluated": sum(b.record_count for b in batches), "findings_count": sum(s["count"] for s in severities), "new_findings": sum(r.new_findings for r in runs),
             "rules_evaluated": min(len(rules), sum(r.rules_evaluated for r in runs)), "rules_errored": sum(r.rules_errored for r in runs),
             "run_duration_seconds": sum((r.finished_at - r.started_at).total_seconds() for r in runs if r.finished_at), "run_status": status,
-            "reference_watermark": max((r.reference_watermark for r in runs), default=None), "dimensions": counted("dimension"), "severities": severities, "findings": [f.asDict() for f in shown],
+            "reference_watermark": max((r.reference_watermark for r in runs), default=None), "dimensions": dimensions, "severities": severities, "findings": [f.asDict() for f in shown],
             "rules": [{k: r[k] for k in ("rule_key", "domain", "dimension", "owning_function", "version_no", "severity", "subject_type")} for r in rules], "runs": [r.asDict() for r in runs],
         }
 

@@ -17,7 +17,8 @@ from assay.rules.predicates import COLUMNS, names, validate
 
 from .store import Store
 
-SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true"}
+#: What a run pins of its session, as the value of a predicate may depend on it.
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.caseSensitive": "false", "spark.sql.legacy.timeParserPolicy": "CORRECTED"}
 
 
 class ScopeNotFoundError(LookupError): ...
@@ -40,6 +41,10 @@ class SourcePeriodScope:
     start: dt.date
     end: dt.date  # exclusive
 
+    def __post_init__(self):
+        if self.start >= self.end:
+            raise InvalidRunRequestError(f"a period from {self.start} can't end at {self.end}")
+
 
 def month(text: str) -> tuple[dt.date, dt.date]:
     """The half-open range of a month written YYYY-MM."""
@@ -124,26 +129,31 @@ class Engine:
         return {n: have[n] for n in names(version.predicate_sql)}
 
     def _evaluate(self, run_id: int, version, at: dict) -> tuple[str, int, str | None]:
-        """Rows are complete in a cache before any is appended, so a predicate that fails leaves none."""
+        """Rows are complete in a cache before any is appended, so a predicate that fails leaves none. The lock covers
+        only the step from what is known to what is appended."""
+        least = None
         try:
             found = self.spark.sql(version.predicate_sql, args=self._bindings(version, at)).select(*(F.col(c).cast("string") for c in COLUMNS))
-            least = found.groupBy("subject_key").agg(F.min(F.struct(*COLUMNS[1:])).alias("s")).select("subject_key", "s.*")
+            least = found.groupBy("subject_key").agg(F.min(F.struct(*COLUMNS[1:])).alias("s")).select("subject_key", "s.*").persist()
+            bare = least.agg(F.count(F.when(F.col("offending_value").isNull(), 1))).first()[0]  # fills the cache
+            if version.subject_type == "record" and bare:
+                raise ValueError("a record finding needs an offending value")
+            batch = at["batch_id"] if version.subject_type == "record" else None
             with self.store.lock:
-                have = self.store.read("finding").filter((F.col("rule_version_id") == version.rule_version_id) & (F.col("scope_key") == at["scope_key"])).select("subject_key")
-                new = least.join(have, "subject_key", "left_anti").persist()
-                n, bare = new.agg(F.count("*"), F.count(F.when(F.col("offending_value").isNull(), 1))).first()
-                if version.subject_type == "record" and bare:
-                    raise ValueError("a record finding needs an offending value")
-                batch = at["batch_id"] if version.subject_type == "record" else None
+                have = self.store.read("finding").filter((F.col("scope_key") == at["scope_key"]) & (F.col("rule_version_id") == version.rule_version_id)).select("subject_key")
+                new = least.join(have, "subject_key", "left_anti")
+                n = new.count()
                 if n:
                     self.store.append("finding", new.select(
                         F.lit(run_id).cast("long").alias("rule_run_id"), F.lit(version.rule_version_id).cast("long").alias("rule_version_id"), F.lit(batch).cast("long").alias("batch_id"), F.lit(at["scope_key"]).alias("scope_key"),
                         F.lit(version.subject_type).alias("subject_type"), *COLUMNS, F.lit(version.severity).alias("severity"), F.lit(dt.datetime.now(dt.timezone.utc)).alias("detected_at"),
                     ))
-                new.unpersist()
             return "EVALUATED", n, None
         except Exception as e:
             return "ERRORED", 0, f"{type(e).__name__}: {str(e).splitlines()[0]}"
+        finally:
+            if least is not None:
+                least.unpersist()
 
     def run(self, scope=None, *, rule_keys: list[str] | None = None, replay_of: int | None = None) -> RunResult:
         if (scope is None) == (replay_of is None) or replay_of is not None and rule_keys is not None:
@@ -182,19 +192,25 @@ class Engine:
         if r is None or r.status != "COMPLETED" or r.replay_of_rule_run_id is not None:
             raise ReplaySourceError(f"run {run_id} is not an original, completed run")
         settings = json.loads(r.session_settings)
-        if settings.keys() != SETTINGS.keys():
-            raise ReplaySourceError(f"run {run_id} has other settings")
+        if settings != SETTINGS:
+            odd = sorted(k for k in settings.keys() | SETTINGS.keys() if settings.get(k) != SETTINGS.get(k))
+            raise ReplaySourceError(f"run {run_id} was under other settings: {', '.join(odd)}")
         at = json.loads(r.scope)
+        if at["watermark"] != r.reference_watermark or at["as_of"] != str(r.as_of_date) or at["scope_key"] != r.scope_key:
+            raise ReplaySourceError(f"run {run_id} contradicts its own log")
         at = at | {k: dt.date.fromisoformat(at[k]) for k in ("start", "end", "as_of")} | {"types": tuple(at["types"])}
         ids = [x.rule_version_id for x in self.store.read("rule_run_rule_version").filter(F.col("rule_run_id") == run_id).collect()]
         v = self.store.read("rule_version").filter(F.col("rule_version_id").isin(ids)).join(self.store.latest("rule", "rule_key"), "rule_id").collect()
-        if len(v) != len(ids):
+        if len(v) != len(ids) or len(set(ids)) != len(ids):
             raise LookupError("recorded rule versions are missing or repeated")
+        if bad := sorted(x.rule_key for x in v if x.subject_type not in at["types"]):
+            raise ReplaySourceError(f"run {run_id} has rules of other subjects: {', '.join(bad)}")
         return at, settings, sorted(v, key=lambda x: x.rule_key)
 
     # --- what is read back
 
-    def findings(self, *, domain=None, rule_key=None, severity=None, batch_id=None, detected_from=None, detected_to=None) -> DataFrame:
+    def findings(self, *, domain=None, rule_key=None, severity=None, batch_id=None, detected_from=None, detected_to=None, ordered: bool = True) -> DataFrame:
+        """Findings with their rules' names. Ordered for those who show them all; counts need no order."""
         rules = self.store.latest("rule", "rule_key").select("rule_id", "rule_key", "domain", "dimension", "owning_function")
         named = self.store.read("finding").withColumn("finding_id", F.xxhash64("rule_version_id", "scope_key", "subject_key"))
         df = named.join(self.store.read("rule_version").select("rule_version_id", "rule_id", "version_no"), "rule_version_id").join(rules, "rule_id")
@@ -205,7 +221,7 @@ class Engine:
             df = df.filter(F.col("detected_at") >= F.lit(detected_from))
         if detected_to is not None:
             df = df.filter(F.col("detected_at") < F.lit(detected_to))
-        return df.orderBy("detected_at", "rule_version_id", "scope_key", "subject_key")
+        return df.orderBy("detected_at", "rule_version_id", "scope_key", "subject_key") if ordered else df
 
     def scope_key(self, scope) -> str:
         return self._resolve(scope)["scope_key"]
@@ -236,6 +252,6 @@ class Engine:
             code = self.spark.table("source_system").filter(F.col("source_system_id") == at["source_system_id"]).first().code
             keys.append(f"sp:{code}:{at['start']:%Y-%m}")
         first = Window.partitionBy("rule_id", "subject_key").orderBy(F.desc("version_no"), "scope_key")
-        once = self.findings().filter(F.col("scope_key").isin(keys)).withColumn("n", F.row_number().over(first)).filter("n = 1")
+        once = self.findings(ordered=False).filter(F.col("scope_key").isin(keys)).withColumn("n", F.row_number().over(first)).filter("n = 1")
         rows = once.groupingSets([["domain"], ["rule_key"], ["severity"]], "domain", "rule_key", "severity").agg(F.count("*").alias("findings")).collect()
         return {c: {r[c]: r.findings for r in sorted(rows, key=lambda r: r[c] or "") if r[c] is not None} for c in ("domain", "rule_key", "severity")}

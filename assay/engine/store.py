@@ -1,4 +1,7 @@
-"""An append-only store of Parquet tables. What changes is an event; views fold events to the latest state."""
+"""An append-only store of Parquet tables. What changes is an event; views fold events to the latest state.
+
+What is delivered lies in a folder for each batch, findings in one for each scope, so that a run reads its own batch and
+its scope's earlier findings only."""
 
 from __future__ import annotations
 
@@ -26,6 +29,9 @@ SCHEMAS = {
 }
 
 
+PARTITIONS = dict.fromkeys(("hcp", "hco", "product", "territory", "territory_alignment", "sales_transaction"), "batch_id") | {"finding": "scope_key"}
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.lock = spark, path.rstrip("/"), threading.RLock()
@@ -34,11 +40,13 @@ class Store:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+        df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+        return df.select(*(c.split()[0] for c in SCHEMAS[name].replace("(18,4)", "").split(", "))) if name in PARTITIONS else df
 
     def append(self, name: str, rows: list[tuple] | DataFrame) -> None:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1)
-        df.write.mode("append").parquet(f"{self.path}/{name}")
+        by = PARTITIONS.get(name)
+        (df.write.partitionBy(by) if by else df.write).mode("append").parquet(f"{self.path}/{name}")
 
     def latest(self, name: str, key: str) -> DataFrame:
         """The last event of each key."""

@@ -5,34 +5,37 @@ A query is one statement; Catalyst chooses joins, prunes columns and pushes filt
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from assay.engine.runner import BatchScope, Engine
+from assay.engine.store import Store
 from assay.functions.scalars import covers, overlaps, range_text
 from assay.rules.library import shipped
-from assay.sources.derived import PINS, duck_with, register
+from assay.sources.derived import PINS, duck_with, register, scratch, with_views
+
+from . import oracles
 
-SALES_BATCHES, MASTER_BATCHES = (191, 192, 193, 194, 195), (1, 2, 3, 4, 5)
 RULES = {r.rule_key: r for r in shipped()}
+EVERY_BATCH = "in (select batch_id from data_batch)"
+EVERY_SOURCE = "in (select source_system_id from source_system)"
 
 
-def bound(sql: str, batches: tuple[int, ...] = (), source: str = "") -> str:
-    """The statement with the scope's values in the place of its parameters."""
+def bound(sql: str) -> str:
+    """The statement over the scopes of every batch or every source, with the values that a run pins."""
     values = {"as_of_date": f"date'{PINS['as_of_date']}'", "reference_watermark": str(PINS["reference_watermark"]), "scope_period_start": f"date'{PINS['period_start']}'", "scope_period_end": f"date'{PINS['period_end']}'", "threshold_pct": "20"}
-    if batches:
-        sql = sql.replace("= :batch_id", f"in ({', '.join(map(str, batches))})")
-    sql = re.sub(r"t\.source_system_id = :scope_source_system_id and ", source, sql)
+    sql = sql.replace("= :batch_id", EVERY_BATCH).replace("= :scope_source_system_id", EVERY_SOURCE)
     return re.sub(r":(\w+)", lambda m: values.get(m[1], m[0]), sql)
 
 
 def _rule(key: str) -> str:
-    sql = bound(RULES[key].predicate_sql, SALES_BATCHES if key.startswith("SALES") else MASTER_BATCHES)
-    # a dated literal is two spellings away from the other engine
-    return sql
+    return bound(RULES[key].predicate_sql)
 
 
-_VOLUME = bound(RULES["VOL-DEVIATION"].predicate_sql).replace(f"date_sub(date'{PINS['period_start']}', datediff(date'{PINS['period_end']}', date'{PINS['period_start']}'))", "date'1998-01-29'")
+#: Late and missing feeds of all months in one statement; the shipped rule's is for the scope of one.
 _LATE = f"""select s.code || ':' || cast(p.period_start as string) as subject_key, cast(null as string) as offending_value, coalesce(cast(max(b.arrival_ts) as string), 'never delivered') as observed_value,
   cast(cast(date_add(p.period_end, cast(max(f.delivery_days) as int)) as timestamp) as string) as expected_value
 from source_system s join feed_expectation f on f.source_system_id = s.source_system_id cross join (select distinct period_start, period_end from data_batch) p
@@ -47,18 +50,19 @@ _UNION = " union all ".join(
     if r.subject_type == "record"
 )
 #: Findings as two versions of each rule would leave them: version 2 found every subject but those that end in 7.
-_VERSIONED = f"select u.*, v.version_no, case when v.version_no = 1 then 'b:191' else 'b:192' end as scope_key from ({_UNION}) u cross join (select 1 as version_no union all select 2 as version_no) v where v.version_no = 1 or right(u.subject_key, 1) <> '7'"
+_VERSIONED = f"select u.*, v.version_no, case when v.version_no = 1 then 'b:1' else 'b:2' end as scope_key from ({_UNION}) u cross join (select 1 as version_no union all select 2 as version_no) v where v.version_no = 1 or right(u.subject_key, 1) <> '7'"
 _DEDUPED = f"select * from (select f.*, row_number() over (partition by rule_key, subject_key order by version_no desc, coalesce(offending_value, ''), coalesce(observed_value, '')) as rn from ({_VERSIONED}) f) g where rn = 1"
-#: A run of each rule over each batch of the sales scope: outcomes as the run log would hold them.
+#: A run of each rule over each batch: outcomes as the run log would hold them.
 _OUTCOMES = f"""select b.batch_id as rule_run_id, 'b:' || cast(b.batch_id as string) as scope_key, k.rule_key, case when (b.batch_id + length(k.rule_key)) % 3 = 0 then 'ERRORED' else 'EVALUATED' end as outcome,
-  cast((b.batch_id * length(k.rule_key)) % 11 as int) as finding_count from data_batch b cross join ({" union all ".join(f"select '{k}' as rule_key" for k in RULES)}) k where b.batch_id between 150 and 195"""
+  cast((b.batch_id * length(k.rule_key)) % 11 as int) as finding_count from data_batch b cross join ({" union all ".join(f"select '{k}' as rule_key" for k in RULES)}) k """
 _SEVERITY = "case severity when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end"
 _WINDOWED = "select source_system_id, source_key, valid_from, hcp_id"
 
 QUERIES: dict[str, str] = {
     **{"rule_" + k.lower().replace("-", "_"): _rule(k) for k, r in RULES.items() if r.subject_type == "record"},
-    "rule_feed_late_missing": _LATE,
-    "rule_vol_deviation": _VOLUME,
+    "rule_feed_late_missing": _rule("FEED-LATE-MISSING"),
+    "rule_vol_deviation": _rule("VOL-DEVIATION"),
+    "feeds_late_every_period": _LATE,
     "asof_latest_version": f"select source_system_id, source_key, max(valid_from) as valid_from, max_by(uom, valid_from) as uom, max_by(is_deleted, valid_from) as is_deleted from product where valid_from <= date'{PINS['as_of_date']}' and batch_id <= 195 group by source_system_id, source_key",
     "latest_rule_version": f"select rule_key, max(version_no) as version_no from ({_VERSIONED}) f group by rule_key",
     "watermark_scalar": "select coalesce(max(batch_id), 0) as watermark from data_batch",
@@ -82,7 +86,6 @@ QUERIES: dict[str, str] = {
     "nightly_batches": f"select b.batch_id, s.code, b.record_count, b.arrival_ts from data_batch b join source_system s on s.source_system_id = b.source_system_id where b.period_start = date'{PINS['period_start']}' and b.period_end = date'{PINS['period_end']}'",
     "nightly_totals": "select period_start, cast(sum(record_count) as bigint) as records, max(batch_id) as watermark, count(*) as batches from data_batch group by period_start",
     "period_list": "select distinct substr(cast(period_start as string), 1, 7) as period from data_batch",
-    "replay_equality": f"select count(*) as differing from ((select rule_key, subject_key, offending_value from ({_UNION}) a except all select rule_key, subject_key, offending_value from ({_UNION}) b) union all (select rule_key, subject_key, offending_value from ({_UNION}) c except all select rule_key, subject_key, offending_value from ({_UNION}) d)) x",
     "historical_vs_fresh_watermark": "select h.batch_id, count(*) as versions, count(*) filter (where h.batch_id <= 190) as historical, count(*) filter (where h.batch_id <= 195) as fresh from hcp h group by h.batch_id",
     "master_chain_uniqueness_check": "select source_system_id, source_key, valid_from, count(*) as versions from hcp group by source_system_id, source_key, valid_from having count(*) > 1",
     "range_overlap_self_join": f"select a.alignment_id, b.alignment_id as other_id, {range_text('a.effective_from', 'a.effective_to')} as effective from territory_alignment a join territory_alignment b on a.source_system_id = b.source_system_id and a.hcp_source_key = b.hcp_source_key and a.alignment_id < b.alignment_id and {overlaps('a.effective_from', 'a.effective_to', 'b.effective_from', 'b.effective_to')}",
@@ -90,7 +93,7 @@ QUERIES: dict[str, str] = {
     "null_safe_row_diff": "select a.source_key, a.valid_from from hcp a join hcp b on a.source_system_id = b.source_system_id and a.source_key = b.source_key and a.hcp_id < b.hcp_id where a.npi is distinct from b.npi or a.batch_id is distinct from b.batch_id",
     "null_marker_projection": "select source_key, hcp_id, coalesce(npi, '<absent>') as npi, cast(null as string) as observed_value from hcp where npi is null or length(npi) < 10",
     "semi_join_partners": "select h.source_key, h.hcp_id from hcp h where exists (select 1 from hcp o where o.npi = h.npi and o.source_key <> h.source_key)",
-    "anti_join_uncovered": f"select t.source_txn_key, t.txn_date from sales_transaction t where t.batch_id in (191, 192) and not exists (select 1 from territory_alignment a where a.source_system_id = t.source_system_id and a.hcp_source_key = t.hcp_key and a.territory_code = t.territory_code and {covers('a.effective_from', 'a.effective_to', 't.txn_date')})",
+    "anti_join_uncovered": f"select t.source_txn_key, t.txn_date from sales_transaction t where not exists (select 1 from territory_alignment a where a.source_system_id = t.source_system_id and a.hcp_source_key = t.hcp_key and a.territory_code = t.territory_code and {covers('a.effective_from', 'a.effective_to', 't.txn_date')})",
     "left_outer_batches": "select s.code, count(b.batch_id) as batches from source_system s left join data_batch b on b.source_system_id = s.source_system_id and b.record_count > 10 group by s.code",
     "window_ranking": f"{_WINDOWED}, row_number() over w as rn, rank() over w as rk, dense_rank() over w as dr, ntile(3) over w as nt from hcp window w as (partition by source_system_id, source_key order by valid_from, hcp_id)",
     "window_offsets": f"{_WINDOWED}, lead(hcp_id) over w as next_id, lag(hcp_id) over w as previous_id, first_value(hcp_id) over w as first_id, last_value(hcp_id) over w as last_id, nth_value(hcp_id, 2) over w as second_id from hcp window w as (partition by source_system_id, source_key order by valid_from, hcp_id)",
@@ -110,9 +113,29 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: Rules that replay_of_runs runs, over this batch's scope.
+REPLAYED, REPLAYED_BATCH = ("HCP-DUP-NPI", "HCP-NPI-FORMAT", "SALES-UOM-MISMATCH"), 191
+
+
+def replay_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of the engine over one batch in a store of its own, and its replay: the findings of the first, and for each
+    what the second evaluates to. rule_key, subject_key, offending_value, replayed (how many new findings it made)."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    register(spark, sf_dir)
+    engine = Engine(Store(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}"))
+    for key in REPLAYED:
+        engine.register(RULES[key])
+    first = engine.run(BatchScope(REPLAYED_BATCH))
+    again = engine.run(replay_of=first.rule_run_id)
+    new = F.create_map(*(F.lit(x) for key in REPLAYED for x in (key, again.outcomes[key][1])))
+    return engine.findings().filter(F.col("rule_run_id") == first.rule_run_id).select("rule_key", "subject_key", "offending_value", F.element_at(new, F.col("rule_key")).cast("long").alias("replayed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in QUERIES}
+    return {name: _query(name) for name in QUERIES} | {"replay_of_runs": replay_of_runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_with(sql) for name, sql in QUERIES.items()}
+    """The nine rules by statements of their own; all other queries by theirs in the other dialect."""
+    own = {name: with_views(sql) for name, sql in oracles.RULES.items()}
+    return {name: duck_with(sql) for name, sql in QUERIES.items() if name not in own} | own | {"replay_of_runs": with_views(oracles.replayed(REPLAYED, REPLAYED_BATCH))}
