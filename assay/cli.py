@@ -9,7 +9,7 @@ import sys
 from assay.engine.console import Console
 from assay.engine.runner import BatchScope, Engine, InvalidRunRequestError, ReplaySourceError, ScopeNotFoundError, SourcePeriodScope, month
 from assay.engine.store import Store
-from assay.rules.definition import RuleDefinitionError, load_definition, load_library
+from assay.rules.definition import RuleDefinitionError, export, load_definition, load_library
 from assay.rules.library import shipped
 from assay.sources import stored, world
 
@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     rules = sub.add_parser("rules").add_subparsers(dest="action", required=True)
     c = rules.add_parser("register", help="the shipped rules, or those of files and folders")
     c.add_argument("paths", nargs="*")
+    rules.add_parser("export", help="the shipped rules as files").add_argument("folder")
     for action in ("activate", "deactivate"):
         rules.add_parser(action).add_argument("rule_key")
     for name in ("run-rules", "summarise"):
@@ -53,6 +54,9 @@ def _scope(a):
 
 
 def _rules(engine: Engine, a) -> int:
+    if a.action == "export":
+        print(*export(shipped(), a.folder), sep="\n")
+        return 0
     if a.action != "register":
         if not engine.set_active(a.rule_key, a.action == "activate"):
             raise LookupError(f"no rule {a.rule_key}")

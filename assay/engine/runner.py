@@ -73,25 +73,35 @@ class Engine:
         """refresh: called before a scope is resolved, to make the views anew where their tables grow."""
         self.store, self.spark, self.refresh = store, store.spark, refresh or (lambda: None)
 
+    @property
+    def author(self) -> Store:
+        return self.store.acting_as("author")
+
+    @property
+    def log(self) -> Store:
+        return self.store.acting_as("engine")
+
     # --- registry
 
     def register(self, d: RuleDefinition) -> str:
         """created, versioned or unchanged."""
+        store = self.author
         validate(d.predicate_sql, d.parameters, self.spark)
         with self.store.lock:
-            old = self.store.latest("rule", "rule_key").filter(F.col("rule_key") == d.rule_key).first()
-            rule_id = old.rule_id if old else self.store.next("rule", "rule_id")
-            last = self.store.read("rule_version").filter(F.col("rule_id") == rule_id).orderBy(F.desc("version_no")).first() if old else None
+            old = store.latest("rule", "rule_key").filter(F.col("rule_key") == d.rule_key).first()
+            rule_id = old.rule_id if old else store.next("rule", "rule_id")
+            last = store.read("rule_version").filter(F.col("rule_id") == rule_id).orderBy(F.desc("version_no")).first() if old else None
             if old is None or old.owning_function != d.owning_function:  # domain and dimension keep their first values
                 self._rule(rule_id, d.rule_key, old.domain if old else d.domain, old.dimension if old else d.dimension, d.owning_function, old.is_active if old else True)
             if last and not d.differs_from(last.severity, last.subject_type, last.predicate_sql, json.loads(last.parameters)):
                 return "unchanged"
-            version = (self.store.next("rule_version", "rule_version_id"), rule_id, last.version_no + 1 if last else 1, d.severity, d.subject_type, d.predicate_sql, json.dumps(d.parameters, sort_keys=True))
-            self.store.append("rule_version", [version])
+            version = (store.next("rule_version", "rule_version_id"), rule_id, last.version_no + 1 if last else 1, d.severity, d.subject_type, d.predicate_sql, json.dumps(d.parameters, sort_keys=True))
+            store.append("rule_version", [version])
             return "versioned" if last else "created"
 
     def _rule(self, *row) -> None:
-        self.store.append("rule", [(*row, self.store.next("rule", "seq"))])
+        store = self.author
+        store.append("rule", [(*row, store.next("rule", "seq"))])
 
     def set_active(self, rule_key: str, active: bool) -> bool:
         old = self.store.latest("rule", "rule_key").filter(F.col("rule_key") == rule_key).first()
@@ -144,7 +154,7 @@ class Engine:
                 new = least.join(have, "subject_key", "left_anti")
                 n = new.count()
                 if n:
-                    self.store.append("finding", new.select(
+                    self.log.append("finding", new.select(
                         F.lit(run_id).cast("long").alias("rule_run_id"), F.lit(version.rule_version_id).cast("long").alias("rule_version_id"), F.lit(batch).cast("long").alias("batch_id"), F.lit(at["scope_key"]).alias("scope_key"),
                         F.lit(version.subject_type).alias("subject_type"), *COLUMNS, F.lit(version.severity).alias("severity"), F.lit(dt.datetime.now(dt.timezone.utc)).alias("detected_at"),
                     ))
@@ -175,7 +185,7 @@ class Engine:
             outcomes = {}
             for v in versions:
                 outcomes[v.rule_key] = self._evaluate(run_id, v, at)
-                self.store.append("rule_run_rule_version", [(run_id, v.rule_version_id, *outcomes[v.rule_key])])
+                self.log.append("rule_run_rule_version", [(run_id, v.rule_version_id, *outcomes[v.rule_key])])
         except BaseException as e:
             self._event(run_id, replay_of, at, settings, "FAILED", f"{type(e).__name__}: {e}")
             raise
@@ -185,7 +195,7 @@ class Engine:
 
     def _event(self, run_id, replay_of, at, settings, status, error) -> None:
         scope = json.dumps({k: str(v) if isinstance(v, dt.date) else v for k, v in at.items() if k != "correlation_id"}, sort_keys=True)
-        self.store.append("rule_run", [(run_id, replay_of, at["scope_key"], scope, at["as_of"], at["watermark"], json.dumps(settings, sort_keys=True), status, error, at.get("correlation_id"), dt.datetime.now(dt.timezone.utc), self.store.next("rule_run", "seq"))])
+        self.log.append("rule_run", [(run_id, replay_of, at["scope_key"], scope, at["as_of"], at["watermark"], json.dumps(settings, sort_keys=True), status, error, at.get("correlation_id"), dt.datetime.now(dt.timezone.utc), self.store.next("rule_run", "seq"))])
 
     def _recorded(self, run_id: int):
         r = self.store.latest("rule_run", "rule_run_id").filter(F.col("rule_run_id") == run_id).first()
@@ -241,7 +251,7 @@ class Engine:
                 return False
             if end <= old.active_from:
                 raise ValueError(f"an expectation from {old.active_from} can't end at {end}")
-            self.store.append("feed_expectation", [(old.feed_expectation_id, old.source_system_id, old.cadence, old.delivery_days, old.active_from, end, self.store.next("feed_expectation", "seq"))])
+            self.author.append("feed_expectation", [(old.feed_expectation_id, old.source_system_id, old.cadence, old.delivery_days, old.active_from, end, self.store.next("feed_expectation", "seq"))])
         return True
 
     def summary(self, scope) -> dict[str, dict[str, int]]:

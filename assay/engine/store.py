@@ -32,11 +32,42 @@ SCHEMAS = {
 PARTITIONS = dict.fromkeys(("hcp", "hco", "product", "territory", "territory_alignment", "sales_transaction"), "batch_id") | {"finding": "scope_key"}
 
 
+MASTER = ("hcp", "hco", "product", "territory")
+COMMERCIAL = ("source_system", "data_batch", *MASTER, "territory_alignment", "sales_transaction", "feed_expectation")
+REGISTRY = ("rule", "rule_version")
+LOG = ("rule_run", "rule_run_rule_version", "finding")
+#: What each role may read and append; nothing is ever changed or removed.
+ROLES = {
+    "owner": ({*SCHEMAS}, {*SCHEMAS}),
+    "ingest": ({*COMMERCIAL}, {*COMMERCIAL}),
+    "author": ({*REGISTRY, *LOG, "feed_expectation"}, {*REGISTRY, "feed_expectation"}),
+    "engine": ({*SCHEMAS}, {*LOG}),
+    "readonly": ({*SCHEMAS}, set()),
+}
+
+
+class RoleError(PermissionError): ...
+
+
+class ChainError(ValueError):
+    """A delivery brings a version of a master record that the store, or the delivery itself, has already."""
+
+
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.lock = spark, path.rstrip("/"), threading.RLock()
+    def __init__(self, spark: SparkSession, path: str, role: str = "owner", lock=None):
+        self.spark, self.path, self.role, self.lock = spark, path.rstrip("/"), role, lock or threading.RLock()
+        self.readable, self.writable = ROLES[role]
+
+    def acting_as(self, role: str) -> Store:
+        """The same store with the rights of a role, which may not go beyond one's own."""
+        readable, writable = ROLES[role]
+        if not (readable <= self.readable and writable <= self.writable):
+            raise RoleError(f"{self.role} may not act as {role}")
+        return Store(self.spark, self.path, role, self.lock)
 
     def read(self, name: str) -> DataFrame:
+        if name not in self.readable:
+            raise RoleError(f"{self.role} may not read {name}")
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             return self.spark.createDataFrame([], SCHEMAS[name])
@@ -44,10 +75,22 @@ class Store:
         return df.select(*(c.split()[0] for c in SCHEMAS[name].replace("(18,4)", "").split(", "))) if name in PARTITIONS else df
 
     def append(self, name: str, rows: list[tuple] | DataFrame) -> None:
+        if name not in self.writable:
+            raise RoleError(f"{self.role} may not append to {name}")
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1)
+        if name in MASTER:
+            self._one_chain(name, df)
         by = PARTITIONS.get(name)
         (df.write.partitionBy(by) if by else df.write).mode("append").parquet(f"{self.path}/{name}")
 
+    def _one_chain(self, name: str, df: DataFrame) -> None:
+        """Versions of a master record differ in the day they hold from."""
+        key = ["source_system_id", "source_key", "valid_from"]
+        new = df.select(*key)
+        twice = new.groupBy(*key).count().filter("count > 1").select(*key).unionByName(new.join(self.read(name).select(*key), key, "left_semi"))
+        if bad := twice.first():
+            raise ChainError(f"{name} {bad.source_key} of source {bad.source_system_id} has a version from {bad.valid_from} already")
+
     def latest(self, name: str, key: str) -> DataFrame:
         """The last event of each key."""
         df = self.read(name)

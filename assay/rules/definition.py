@@ -77,3 +77,13 @@ def load_library(folder: str | Path) -> list[RuleDefinition]:
     if twice := {k for k in keys if keys.count(k) > 1}:
         raise RuleDefinitionError(f"{folder}: repeated rule keys: {', '.join(sorted(twice))}")
     return rules
+
+
+def export(rules: list[RuleDefinition], folder: str | Path) -> list[Path]:
+    """A JSON file for each rule, which load_library reads back."""
+    out = []
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for r in rules:
+        out.append(Path(folder) / f"{r.rule_key.lower().replace('-', '_')}.json")
+        out[-1].write_text(json.dumps({f.name: getattr(r, f.name) for f in fields(r)}, indent=2) + "\n", encoding="utf-8")
+    return out

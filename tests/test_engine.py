@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 from assay.engine.runner import BatchScope, Engine, InvalidRunRequestError, ReplaySourceError, ScopeNotFoundError, SourcePeriodScope
-from assay.engine.store import Store
+from assay.engine.store import ChainError, RoleError, Store
 from assay.functions.scalars import npi_check_digit
 from assay.operators import catalogue
-from assay.rules.definition import RuleDefinition, RuleDefinitionError
+from assay.rules.definition import RuleDefinition, RuleDefinitionError, export, load_definition, load_library
 from assay.rules.library import shipped
 from assay.rules.predicates import validate
 from assay.sources.derived import register
@@ -102,6 +102,64 @@ def test_gate_admits(spark):
             RuleDefinition(**{**d.__dict__, **bad})
 
 
+def test_rules_as_files(tmp_path):
+    made = export(shipped(), tmp_path / "rules")
+    assert len(made) == 9 and load_library(tmp_path / "rules") == sorted(shipped(), key=lambda r: r.rule_key.lower().replace("-", "_"))
+    (tmp_path / "rules" / "again.json").write_text(made[0].read_text())
+    with pytest.raises(RuleDefinitionError, match="repeated"):
+        load_library(tmp_path / "rules")
+    odd = tmp_path / "odd.json"
+    for text in ('{"rule_key": "X"}', "[1]", "{", made[0].read_text().replace('"domain"', '"realm"')):
+        odd.write_text(text)
+        with pytest.raises(RuleDefinitionError, match=str(odd)):
+            load_definition(odd)
+
+
+def test_roles(engine):
+    rule = next(r for r in shipped() if r.rule_key == "HCP-DUP-NPI")
+    author, runner, reader = (Engine(engine.store.acting_as(role)) for role in ("author", "engine", "readonly"))
+    for other in (runner, reader, Engine(engine.store.acting_as("ingest"))):
+        with pytest.raises(RoleError):
+            other.register(rule)
+    assert author.register(rule) == "created"
+    for other in (author, reader):
+        with pytest.raises(RoleError):
+            other.run(BatchScope(1))
+    assert runner.run(BatchScope(1)).finding_count > 0 and reader.findings().count() == engine.findings().count() > 0
+    ingest = engine.store.acting_as("ingest")
+    for store, table in ((ingest, "finding"), (ingest, "rule")):
+        with pytest.raises(RoleError):
+            store.read(table)
+    with pytest.raises(RoleError):
+        runner.store.append("source_system", [(1, "X", "X")])
+    with pytest.raises(RoleError):
+        reader.store.acting_as("owner")
+
+
+def test_a_version_is_delivered_once(engine):
+    row = (1, 1, "A", dt.date(2025, 1, 1), 1, False, "T", "Area")
+    store = engine.store
+    store.append("territory", [row, (2, 1, "A", dt.date(2025, 2, 1), 1, False, "T", "Area")])
+    for rows in ([row], [(3, 1, "B", dt.date(2025, 1, 1), 2, False, "T", "x"), (4, 1, "B", dt.date(2025, 1, 1), 2, False, "T", "y")]):
+        with pytest.raises(ChainError):
+            store.append("territory", rows)
+    assert store.read("territory").count() == 2
+
+
+def test_replay_is_refused(engine):
+    engine.register(next(r for r in shipped() if r.rule_key == "HCP-DUP-NPI"))
+    done = engine.run(BatchScope(1)).rule_run_id
+    again = engine.run(replay_of=done).rule_run_id
+    log = engine.store.read("rule_run").filter(f"rule_run_id = {done} and status = 'COMPLETED'").first()
+    for k, change in enumerate(({"status": "RUNNING"}, {"status": "FAILED"}, {"status": "COMPLETED_WITH_ERRORS"}, {"session_settings": log.session_settings.replace("UTC", "CET")}, {"session_settings": "{}"}, {"reference_watermark": 7})):
+        engine.store.append("rule_run", [tuple((log.asDict() | {"rule_run_id": 900 + k, "seq": 900 + k} | change).values())])
+    for run in (again, 999, *range(900, 906)):
+        with pytest.raises(ReplaySourceError):
+            engine.run(replay_of=run)
+    with pytest.raises(InvalidRunRequestError):
+        SourcePeriodScope("ASIA", dt.date(1998, 4, 1), dt.date(1998, 4, 1))
+
+
 def test_check_digit():
     assert npi_check_digit("123456789") == 3
 
