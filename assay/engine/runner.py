@@ -87,7 +87,7 @@ class Engine:
         """created, versioned or unchanged."""
         store = self.author
         validate(d.predicate_sql, d.parameters, self.spark)
-        with self.store.lock:
+        with self.store.exclusive("rule"):
             old = store.latest("rule", "rule_key").filter(F.col("rule_key") == d.rule_key).first()
             rule_id = old.rule_id if old else store.next("rule", "rule_id")
             last = store.read("rule_version").filter(F.col("rule_id") == rule_id).orderBy(F.desc("version_no")).first() if old else None
@@ -139,8 +139,8 @@ class Engine:
         return {n: have[n] for n in names(version.predicate_sql)}
 
     def _evaluate(self, run_id: int, version, at: dict) -> tuple[str, int, str | None]:
-        """Rows are complete in a cache before any is appended, so a predicate that fails leaves none. The lock covers
-        only the step from what is known to what is appended."""
+        """Rows are complete in a cache before any is appended, so a predicate that fails leaves none. The lock, one
+        for each scope and version, covers only the step from what is known to what is appended."""
         least = None
         try:
             found = self.spark.sql(version.predicate_sql, args=self._bindings(version, at)).select(*(F.col(c).cast("string") for c in COLUMNS))
@@ -149,7 +149,7 @@ class Engine:
             if version.subject_type == "record" and bare:
                 raise ValueError("a record finding needs an offending value")
             batch = at["batch_id"] if version.subject_type == "record" else None
-            with self.store.lock:
+            with self.store.exclusive(f"{at['scope_key']}-{version.rule_version_id}"):
                 have = self.store.read("finding").filter((F.col("scope_key") == at["scope_key"]) & (F.col("rule_version_id") == version.rule_version_id)).select("subject_key")
                 new = least.join(have, "subject_key", "left_anti")
                 n = new.count()
@@ -178,7 +178,7 @@ class Engine:
         if replay_of is None:
             versions = self.active_versions(at["types"], rule_keys)
         at = at | {"correlation_id": str(uuid.uuid4())}
-        with self.store.lock:
+        with self.store.exclusive("rule_run"):
             run_id = self.store.next("rule_run", "rule_run_id")
             self._event(run_id, replay_of, at, settings, "RUNNING", None)
         try:
@@ -245,7 +245,7 @@ class Engine:
 
     def retire_feed(self, source_system_id: int, end: dt.date) -> bool:
         """Ends the source's newest expectation at a day, by an event that supersedes it; False if there is none."""
-        with self.store.lock:
+        with self.store.exclusive("feed_expectation"):
             old = self.store.latest("feed_expectation", "feed_expectation_id").filter(F.col("source_system_id") == source_system_id).orderBy(F.desc("feed_expectation_id")).first()
             if old is None:
                 return False

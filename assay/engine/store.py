@@ -6,6 +6,8 @@ its scope's earlier findings only."""
 from __future__ import annotations
 
 import threading
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +85,29 @@ class Store:
         by = PARTITIONS.get(name)
         (df.write.partitionBy(by) if by else df.write).mode("append").parquet(f"{self.path}/{name}")
 
+    @contextmanager
+    def exclusive(self, name: str, wait: float = 60.0):
+        """Held by one thread of one process at a time: a file that only its maker may make. Atomic where the file system
+        makes files so. What a dead process left is named in the error, to be removed by hand."""
+        jvm, at = self.spark.sparkContext._jvm, f"{self.path}/_locks/{name.replace('/', '_').replace(':', '_')}"
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        fs, until = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), time.monotonic() + wait
+        with self.lock:
+            while True:
+                try:
+                    fs.create(path, False).close()
+                    break
+                except Exception as e:
+                    if "AlreadyExists" not in str(e) and "already exists" not in str(e):
+                        raise
+                    if time.monotonic() > until:
+                        raise TimeoutError(f"{at} is held by another process, or left by one that died") from None
+                    time.sleep(0.05)
+            try:
+                yield
+            finally:
+                fs.delete(path, False)
+
     def _one_chain(self, name: str, df: DataFrame) -> None:
         """Versions of a master record differ in the day they hold from."""
         key = ["source_system_id", "source_key", "valid_from"]

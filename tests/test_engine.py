@@ -164,7 +164,17 @@ def test_check_digit():
     assert npi_check_digit("123456789") == 3
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_one_process_at_a_time(engine):
+    here, there = engine.store, Store(engine.spark, engine.store.path)
+    with here.exclusive("b:1-1"), pytest.raises(TimeoutError, match="b_1-1"), there.exclusive("b:1-1", wait=0.2):
+        pass
+    with here.exclusive("b:1-1"), there.exclusive("b:1-2"):
+        pass
+    with there.exclusive("b:1-1", wait=0.2):
+        pass
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_catalogue_agrees_with_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "part", "orders", "lineitem"):
