@@ -589,6 +589,7 @@ def test_passages_that_need_more_than_the_first_occurrence(spark):
         (21, lines[0] + new(40) + lines[1] + new(41) + lines[2]), (22, new(5) + lines[0] + new(41) + lines[1] + new(40) + lines[2]),
         (31, new(30) + edge + new(30)), (32, new(8) + bent + new(40)),  # an edit near each end
         (41, early + new(70) + early + new(3)), (42, new(25) + early),  # twice in the first document
+        (61, new(9) + ["la"] * 200 + new(9)), (62, ["la"] * 180 + new(40)), (63, (["two", "words"] * 60)[:110] + new(5)), (64, new(7) + ["two", "words"] * 60),  # repetitive
         (51, part[:35] + new(50)), (52, new(10) + part + new(10)), (53, part + new(30)),  # the first holds only a piece
     ]
     got = found_passages(spark, docs)
@@ -598,6 +599,8 @@ def test_passages_that_need_more_than_the_first_occurrence(spark):
     assert got[21] == [(0, 60), (100, 160), (201, 261)] and got[22] == [(5, 65), (106, 166), (206, 266)]
     assert got[31] == [(30, 94)] and got[32] == [(8, 72)]
     assert got[41] == [(0, 55), (125, 180)] and got[42] == [(25, 80)]
+    assert got[61][0][0] <= 19 and got[61][-1][1] >= 179 and got[62][0][0] <= 10 and got[62][-1][1] >= 170
+    assert got[63][0][0] <= 10 and got[63][-1][1] >= 100 and got[64][0][0] <= 17 and got[64][-1][1] >= 107
     assert got[52] == [(10, 70)] and got[53] == [(0, 60)]
 
 
@@ -611,13 +614,13 @@ def test_rows_that_repeat_a_doc_id_are_one_document(spark):
 
 @pytest.mark.parametrize("ranges", [1, 3, 40])
 def test_matches_whatever_the_ranges(spark, ranges):
-    """Each occurrence meets its seed's first document and the one before its own, across ranges too."""
+    """Each place of a seed meets its like in the first document of its range and in the one before, across ranges too."""
     pick = random.Random(ranges)
     rows = sorted({(seed, pick.randrange(60), pick.randrange(50)) for seed in (1, 2, 2, 2, 3, 4) for _ in range(120)})
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        made = spark.createDataFrame(rows, "seed long, doc_id long, at int").repartitionByRange(ranges, "seed", "doc_id", "at").sortWithinPartitions("seed", "doc_id", "at").mapInArrow(substring._matcher, substring.MATCHED).collect()
+        made = spark.createDataFrame(rows, "seed long, doc_id long, at int").repartitionByRange(ranges, "seed", "doc_id").sortWithinPartitions("seed", "doc_id", "at").mapInArrow(substring._matcher, substring.MATCHED).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     got = Counter((r.doc_id, r.at, r.other, r.other_at) for r in made if r.kind == 0)
@@ -630,14 +633,25 @@ def test_matches_whatever_the_ranges(spark, ranges):
                 docs[d].append(x)
         ids = sorted(docs)
         for k, d in enumerate(ids):
+            n = len(docs[d])
             for i, x in enumerate(docs[d]):
-                to = {ids[0], ids[k - 1]} if k else {ids[1]} if i else set()
-                want.update((d, x, o, docs[o][0]) for o in to)
+                to = {(o, docs[o][min(i, len(docs[o]) - 1)]) for o in ({ids[0], ids[k - 1]} if k else {ids[1]} if i else ())}
+                if k > 1:
+                    to.add((ids[k - 1], docs[ids[k - 1]][max(0, len(docs[ids[k - 1]]) - (n - i))]))
+                want.update((d, x, o, y) for o, y in to)
     if ranges == 1:
         assert got == want
-    linked = {(d, x) for d, x, _, _ in got}
-    assert {(d, x) for s, d, x in rows} - linked <= {(d, min(x for s, e, x in rows if (s, e) == (seed, d))) for seed in (1, 2, 3, 4) for d in [min(e for s, e, _ in rows if s == seed)]} | ({(d, x) for _, d, x in rows} if ranges == 40 else set())
-    assert sum(got.values()) <= 2 * len(rows) + 2 * ranges
+    for seed in (1, 2, 3, 4):  # wherever ranges end, each place meets its like in the document before, or the second one
+        docs = defaultdict(list)
+        for s, d, x in rows:
+            if s == seed:
+                docs[d].append(x)
+        ids = sorted(docs)
+        for k, d in enumerate(ids):
+            o = ids[k - 1] if k else ids[1]
+            for i, x in enumerate(docs[d]):
+                assert not (k or i) or got[d, x, o, docs[o][min(i, len(docs[o]) - 1)]]
+    assert sum(got.values()) <= 3 * len(rows)
 
 
 def test_exact_passages_by_brute_force(spark, rows):
