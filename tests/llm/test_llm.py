@@ -604,6 +604,32 @@ def test_passages_that_need_more_than_the_first_occurrence(spark):
     assert got[52] == [(10, 70)] and got[53] == [(0, 60)]
 
 
+def test_partners_that_are_neither_first_nor_before(spark):
+    pick = random.Random(12)
+    new = lambda n: [f"u{pick.randrange(10**9)}" for _ in range(n)]
+    x, y, many, beside = new(30), new(30), new(60), new(2)
+    docs = [
+        (1, new(20) + x + new(20)), (2, y + new(20)), (3, new(11) + x + y + new(9)), (5, x + new(30)), (6, new(30) + y), (7, new(4) + x + y),  # others stand between for each half
+        *((k, new(20) + (beside if k in (13, 17) else []) + many + new(5)) for k in range(11, 20)),  # two words more, in two of many
+    ]
+    got = found_passages(spark, docs)
+    assert got[3] == [(11, 71)] and got[7] == [(4, 64)]
+    assert not {1, 2, 5, 6} & got.keys()
+    assert all(got[k] == [(20, 82 if k in (13, 17) else 80)] for k in range(11, 20))
+
+
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=130))
+def test_windows(words):
+    long, at, whole = substring.windows(words)
+    n = len(words) - substring.SPAN + 1
+    assert len(at) == len(whole) == max(0, n)
+    runs = [tuple(words[k : k + substring.SPAN]) for k in range(n)]
+    assert len(set(whole.tolist())) == len(set(runs)) == len({(r, w) for r, w in zip(runs, whole.tolist(), strict=True)})
+    seen = {}
+    for k, r in enumerate(runs):
+        assert seen.setdefault(r, at[k] - k) == at[k] - k and 0 <= at[k] - k <= substring.SPAN - substring.LONG
+
+
 def test_rows_that_repeat_a_doc_id_are_one_document(spark):
     pick = random.Random(10)
     same = [f"u{pick.randrange(10**9)}" for _ in range(80)]
