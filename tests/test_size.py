@@ -37,7 +37,7 @@ def broadcast(plan: str) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("name", ["counts_by_severity_raw", "findings_top500", "latest_rule_version", "owner_tally", "summary_by_severity", "counts_by_dimension", "findings_union_contract", "distinct_subjects", "summary_by_domain", "summary_by_rule", "summary_grouping_sets"])
+@pytest.mark.parametrize("name", ["counts_by_severity_raw", "findings_top500", "latest_rule_version", "owner_tally", "summary_by_severity", "counts_by_dimension", "findings_union_contract", "distinct_subjects", "summary_by_domain", "summary_by_rule", "summary_grouping_sets", "summary_version_dedup"])
 def test_large_tables_are_not_broadcast(spark, large, name):
     plan = catalogue.queries()[name](spark, large)._jdf.queryExecution().executedPlan().toString()
     sent = broadcast(plan)
