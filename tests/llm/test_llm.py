@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -630,6 +631,65 @@ def test_windows(words):
         assert seen.setdefault(r, at[k] - k) == at[k] - k and 0 <= at[k] - k <= substring.SPAN - substring.LONG
 
 
+def spread_out(pick):
+    """Documents that share passages with one another, and of each window that two have, (document, start, partner)."""
+    passages = [[f"p{pick.randrange(10**9)}" for _ in range(n)] for n in (49, 50, 70, 130)]
+    docs = {d: [w for p in pick.sample(passages, 2) for w in [*(f"n{pick.randrange(10**9)}" for _ in range(pick.randrange(30))), *p]] for d in range(1, 30)}
+    at = defaultdict(list)
+    for d, w in docs.items():
+        for k in range(len(w) - 49):
+            at[tuple(w[k : k + 50])].append((d, k))
+    want = set()
+    for places in at.values():
+        least, greatest = min(d for d, _ in places), max(d for d, _ in places)
+        want |= {(d, k, least if d > least else greatest) for d, k in places if least < greatest}
+    return docs, want
+
+
+def test_a_place_of_a_long_seed_is_one_row():
+    words = [f"w{k}" for k in range(200)]
+    long, at, whole = substring.windows([w.encode() for w in words])
+    (out,) = substring._windower([pa.RecordBatch.from_pydict({"doc_id": [7], "text": [" ".join(words)], "places": [sorted(set(at.tolist()))]})])
+    assert out.num_rows == len(set(at.tolist())) < len(at)
+    assert sum(out.column("own").to_pylist(), []) == whole.tolist()
+
+
+@pytest.mark.parametrize(("ranges", "most"), [(1, 50_000), (1, 3), (7, 50_000), (60, 50_000)])
+def test_windows_are_compared_whatever_the_ranges(monkeypatch, ranges, most):
+    """What ranges leave open is, with what they found, all windows that two documents have; seeds within a range leave nothing."""
+    monkeypatch.setattr(substring, "MOST", most)
+    docs, want = spread_out(random.Random(ranges))
+    every = pa.RecordBatch.from_pydict({"doc_id": list(docs), "text": [" ".join(w) for w in docs.values()], "places": [list(range(len(w))) for w in docs.values()]})
+    rows = pa.Table.from_batches(substring._windower([every])).sort_by([("seed", "ascending"), ("doc_id", "ascending")])
+    cuts = [len(rows) * k // ranges for k in range(ranges + 1)]
+    made = [r for lo, hi in zip(cuts, cuts[1:], strict=False) for b in substring._comparer(rows.slice(lo, hi - lo).combine_chunks().to_batches(max_chunksize=5)) for r in b.to_pylist()]
+    got = {(r["doc_id"], k, r["partner"]) for r in made if r["partner"] is not None for k in range(r["start"], r["end"] - 49)}
+    assert got <= want
+    left = defaultdict(list)
+    for r in made:
+        if r["partner"] is None:
+            for d, x in zip(r["ids"], r["starts"], strict=True):
+                for k, own in enumerate(r["own"]):
+                    left[r["seed"], own].append((d, x + k))
+    for places in left.values():
+        least, greatest = min(d for d, _ in places), max(d for d, _ in places)
+        got |= {(d, k, least if d > least else greatest) for d, k in places if least < greatest}
+    assert got == want
+    if (ranges, most) == (1, 50_000):
+        assert len({seed for seed, _ in left}) <= 2
+
+
+def test_windows_of_all_ranges_together(spark):
+    """The spans of all windows that two documents have, with Spark's ranges, most of whose seeds go on in the next."""
+    docs, want = spread_out(random.Random(11))
+    picked = spark.createDataFrame([(d, " ".join(w), list(range(len(w)))) for d, w in docs.items()], "doc_id long, text string, places array<int>")
+    covered = {(d, k + i) for d, k, _ in want for i in range(50)}
+    got = substring._exact(picked).collect()
+    assert {(r.doc_id, i) for r in got for i in range(r.start, r.end)} == covered
+    for r in got:
+        assert r.partner == min(p for d, k, p in want if d == r.doc_id and r.start <= k < r.end)
+
+
 def test_rows_that_repeat_a_doc_id_are_one_document(spark):
     pick = random.Random(10)
     same = [f"u{pick.randrange(10**9)}" for _ in range(80)]
