@@ -84,6 +84,7 @@ class Pretokens:
             self.lower, self.splitter = False, None
         self.find = re.compile(self.splitter(LETTER, NUMBER, SPACE)).findall if self.splitter else None
         self.memory: dict[str, bytes] = {}
+        self.remembered = REMEMBERED
         self.ends = None  # which ids end a line (of the byte-level kind) or a word
         if self.find:
             suffix = spec["model"].get("end_of_word_suffix")
@@ -153,7 +154,7 @@ class Pretokens:
             words = set().union(*(f for f in found if f))
             unseen = words.difference(self.memory)
             if unseen:
-                if len(self.memory) + len(unseen) > REMEMBERED:
+                if len(self.memory) + len(unseen) > self.remembered:
                     self.memory.clear()
                     unseen = words
                 asked = list(unseen)

@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from .common import local_path, parts, scratch, texts
 from .pretokens import pretokens
 
+#: Distinct pre-tokens remembered by a Python worker: with fewer, rare words of a large corpus push out all others again and
+#: again, and a third of the time goes into encoding them anew.
+REMEMBERED = 1_000_000
 WRITTEN = "shard long, docs long, nulls long, ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -42,7 +45,8 @@ def _writer(tokenizer: str, folder: str, end_id: int, dtype: str):
     def write(batches):
         from pyspark import TaskContext
 
-        encode, end = pretokens(tokenizer).ids, np.array([end_id], "<u4").tobytes()
+        p, end = pretokens(tokenizer), np.array([end_id], "<u4").tobytes()
+        p.remembered, encode = REMEMBERED, p.ids
         shard = TaskContext.get().partitionId()
         own = f"{folder}/.shard-{shard:06d}.bin.{uuid.uuid4().hex}"
         ids, lengths, names, nulls = 0, [], [], 0

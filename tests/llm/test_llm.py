@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from assay.llm import components, decontaminate, langid, licenses, near_dup, packing, queries, secret_scan, substring, token_count, token_store, topk
-from assay.llm.pretokens import pretokens
+from assay.llm.pretokens import Pretokens, pretokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, spans string, n_words int, items int, bands string, seed string, same string"
@@ -56,6 +56,20 @@ def test_pretokens_give_the_librarys_ids(name, rows):
     assert got == want
 
 
+def test_a_token_store_remembers_more_words(spark, docs, tmp_path):
+    """The limit is a worker's own, and a full memory changes no ids."""
+    path = queries.vocabulary("byte_bpe_50k.json")
+    few, many = Pretokens(path), Pretokens(path)
+    few.remembered, many.remembered = 3, token_store.REMEMBERED
+    asked = {p: [] for p in (few, many)}
+    for p in asked:
+        p.encode = lambda words, p=p, f=p.encode: asked[p].extend(words) or f(words)
+    texts = [f"{a} {'x ' * 20_000}{b}" for a, b in ("ab", "cd", "ab", "cd")]
+    assert list(few.ids(texts)) == list(many.ids(texts))
+    assert len(asked[many]) == len(set(asked[many])) < len(asked[few])
+    assert many.remembered > few.tokenizer.get_vocab_size() and many.remembered >= 1_000_000
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_every_character_is_split_as_the_library_does(name):
     p = pretokens(queries.vocabulary(name))
