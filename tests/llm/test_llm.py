@@ -704,6 +704,46 @@ def test_windows_of_all_ranges_together(spark):
         assert r.partner == min(p for d, k, p in want if d == r.doc_id and r.start <= k < r.end)
 
 
+@pytest.mark.parametrize("period", [1, 2, 7])
+def test_a_stretch_of_repeated_words_has_no_more_rows_than_others(period):
+    words = [f"w{k % period}" for k in range(500)]
+    _, _, whole = substring.windows([w.encode() for w in words])
+    (seeds,) = substring._seeder([pa.RecordBatch.from_pydict({"doc_id": [7], "text": [" ".join(words)]})])
+    places = [r["at"] for r in seeds.to_pylist() if r["long"]]
+    (out,) = substring._windower([pa.RecordBatch.from_pydict({"doc_id": [7], "text": [" ".join(words)], "places": [places]})])
+    assert out.num_rows == len(places) == -(-len(whole) // 26)
+    assert sum(out.column("own").to_pylist(), []) == whole.tolist()
+    assert out.column("start").to_pylist() == list(range(0, len(whole), 26))
+
+
+def test_found_windows_of_a_row_are_one_span():
+    found = [{"at": 0, "least": 1, "greatest": 9}, {"at": 1, "least": 0, "greatest": 9}, {"at": 5, "least": 1, "greatest": 12}]
+    (out,) = substring._spread([pa.RecordBatch.from_pydict({"ids": [[1, 5, 5, 9]], "starts": [[10, 0, 70, 3]], "found": [found]})])
+    assert [tuple(r.values()) for r in out.to_pylist()] == [(1, 10, 65, 0), (5, 0, 55, 0), (5, 70, 125, 0), (9, 3, 58, 0)]
+    (out,) = substring._spread([pa.RecordBatch.from_pydict({"ids": [[1, 5]], "starts": [[10, 0]], "found": [[found[0], found[2]]]})])
+    assert [tuple(r.values()) for r in out.to_pylist()] == [(1, 10, 65, 9), (5, 0, 55, 1)]
+
+
+def test_windows_of_stretches_of_repeated_words(spark):
+    """As above, from the places that are picked, where words, pairs, lines and 25 words with others between repeat."""
+    pick = random.Random(12)
+    new = lambda n: [f"n{pick.randrange(10**9)}" for _ in range(n)]
+    line = new(25)
+    kinds = [lambda n: ["a"] * n, lambda n: ["b", "c"] * (n // 2), lambda n: line[:11] * (n // 11), lambda n: sum(([*line, pick.choice("xyz")] for _ in range(n // 26)), [])]
+    docs = {d: sum(([*new(pick.randrange(20)), *pick.choice(kinds)(pick.randrange(40, 300))] for _ in range(3)), []) for d in range(1, 40)}
+    at = defaultdict(list)
+    for d, w in docs.items():
+        for k in range(len(w) - 49):
+            at[tuple(w[k : k + 50])].append((d, k))
+    want = {(d, k): (min if d > min(x)[0] else max)(x)[0] for x in at.values() for d, k in x if min(x)[0] < max(x)[0]}
+    rows = frame(spark, [(d, " ".join(w)) for d, w in docs.items()])
+    found = substring.texts(rows).mapInArrow(substring._seeder, "seed long, doc_id long, at int, long boolean").filter("long").drop("long")
+    got = substring._exact(rows.join(substring._places(found), "doc_id").select("doc_id", "text", "places")).collect()
+    assert {(r.doc_id, i) for r in got for i in range(r.start, r.end)} == {(d, k + i) for d, k in want for i in range(50)}
+    for r in got:
+        assert r.partner == min(p for (d, k), p in want.items() if d == r.doc_id and r.start <= k < r.end)
+
+
 def test_rows_that_repeat_a_doc_id_are_one_document(spark):
     pick = random.Random(10)
     same = [f"u{pick.randrange(10**9)}" for _ in range(80)]
